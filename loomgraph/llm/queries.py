@@ -1,10 +1,12 @@
 """Queries of the corpus operators by name, and the same results as DuckDB SQL."""
 
-from . import exact_dedup
+from . import decontam, exact_dedup
 
 QUERIES = {
+    "op1_decontamination": decontam.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
+    "op1_decontamination": decontam.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
