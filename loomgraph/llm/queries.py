@@ -1,9 +1,11 @@
 """Queries of the corpus operators by name, and the same results as DuckDB SQL."""
 
-from . import decontam, exact_dedup
+from . import decontam, exact_dedup, records, secrets
 
 QUERIES = {
     "op1_decontamination": decontam.query,
+    "op8_secret_scan": secrets.query,
+    "op9_token_records": records.query,
     "op10_exact_dedup": exact_dedup.query,
 }
 ORACLE = {
