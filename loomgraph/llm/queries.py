@@ -1,9 +1,11 @@
 """Queries of the corpus operators by name, and the same results as DuckDB SQL."""
 
-from . import decontam, exact_dedup, records, secrets
+from . import decontam, exact_dedup, mixing, records, secrets, urls
 
 QUERIES = {
     "op1_decontamination": decontam.query,
+    "op2_url_trust": urls.query,
+    "op7_source_mix": mixing.query,
     "op8_secret_scan": secrets.query,
     "op9_token_records": records.query,
     "op10_exact_dedup": exact_dedup.query,
