@@ -1,15 +1,17 @@
 """Queries of the corpus operators by name, and the same results as DuckDB SQL."""
 
-from . import decontam, exact_dedup, minhash, mixing, records, secrets, urls
+from . import decontam, exact_dedup, langid, minhash, mixing, records, secrets, urls
 
 QUERIES = {
     "op1_decontamination": decontam.query,
     "op2_url_trust": urls.query,
     "op4_near_dedup": minhash.query,
+    "op5_language_id": langid.query,
     "op7_source_mix": mixing.query,
     "op8_secret_scan": secrets.query,
     "op9_token_records": records.query,
     "op10_exact_dedup": exact_dedup.query,
+    "langid_pages": langid.query_pages,
 }
 ORACLE = {
     "op1_decontamination": decontam.ORACLE,
