@@ -147,6 +147,13 @@ def pair_distances(edges: DataFrame, pairs: DataFrame, two_sided: bool = True, l
     return found.select(*([by] if by else []), F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("w"), "distance")
 
 
+def single_distance(edges: DataFrame, source: int, target: int, two_sided: bool = True, limit: float = float("inf")) -> float | None:
+    """The distance of one pair; None if it isn't reached."""
+    pair = edges.sparkSession.createDataFrame([(source, target)], "v long, w long")
+    row = pair_distances(edges, pair, two_sided, limit).first()
+    return row.distance if row else None
+
+
 def chains(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(by, node, degree2): which nodes lie inside a path that could be contracted, as exactly two edges meet there."""
     return edges.groupBy(*by, F.col("a").alias("node")).agg((F.count("*") == 2).alias("degree2"))

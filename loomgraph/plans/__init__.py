@@ -1 +1 @@
-
+"""Options, whole runs, and the queries by name."""

@@ -60,3 +60,11 @@ def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Meant for materialized tables of a few narrow columns; counting those reads their footers only.
     """
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def compact(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df in one partition if it has at most so many rows, so that joins and groups of small tables need no shuffle.
+
+    Larger ones stay as they are. Meant for materialized tables of a few narrow columns, as narrow is.
+    """
+    return df.coalesce(1) if df.count() <= rows else df

@@ -1 +1 @@
-
+"""Text files as DataFrames, and back."""

@@ -1 +1 @@
-
+"""Empty: the engine's inputs are finite files, and nothing in it is stateful over time."""
