@@ -108,7 +108,10 @@ def exact_matches(keyed: DataFrame, candidates: DataFrame, phrases: DataFrame) -
     told = narrow(materialize(told, "candidates"), 20_000)
     same = lambda a: a.doc_id.eqNullSafe(told.doc_id) & (a.h == told.h)
     texts = keyed.join(told, same(keyed)).select(keyed.doc_id, keyed.h, "text", "c")
-    checked = texts.withColumn("words", lower_words(F.col("text"))).withColumn("hits", F.expr("filter(c, x -> array_join(slice(words, x.start + 1, x.length), ' ') = x.phrase)"))
+    # The words are bound as a lambda's variable, else Catalyst would put the split inside the filter, once a candidate.
+    same_words = lambda words, c: ascii_lower(F.array_join(F.slice(words, c.start + 1, c.length), " ")) == c.phrase
+    hits = F.transform(F.array(raw_words(F.col("text"))), lambda words: F.filter("c", lambda c: same_words(words, c)))[0]
+    checked = texts.select("doc_id", "h", hits.alias("hits"))
     hits = F.expr("transform(array_distinct(hits), x -> struct(x.start AS start, x.length AS length, x.phrase_id AS phrase_id))")
     return checked.filter("size(hits) > 0").select("doc_id", "h", hits.alias("hits")).dropDuplicates(["doc_id", "h"])
 
