@@ -1,75 +1,22 @@
-"""Shared pieces: scratch tables, size-checked broadcasts, worker-wide caches, raw byte files."""
+"""Shared pieces of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
 import sys
-import tempfile
 import types
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Upper bound, in rows of a few narrow columns, for what may be broadcast.
-BROADCAST_ROWS = 400_000
+from ..scratch import BROADCAST_ROWS, compact, delete, materialize, narrow, scratch_dir, scratch_path
+
+__all__ = ["BROADCAST_ROWS", "ASCII_UPPER", "SPACE", "ascii_lower", "compact", "delete", "materialize", "narrow", "scratch_dir", "scratch_path", "worker_cache"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space as a Java and RE2 class: space and U+0009 to U+000D.
 SPACE = "[ \\t-\\r]+"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: spark.checkpoint.dir, in a subfolder of this application.
-
-    Where the setting is missing, a local master gets a temporary folder; a cluster has none to offer, so that fails.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/loomgraph-{spark.sparkContext.applicationId}"
-    if path not in _SCRATCH:
-        _SCRATCH.add(path)
-        atexit.register(_remove, spark, path)
-    return path
-
-
-_SCRATCH: set[str] = set()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        delete(spark, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a file or folder of any Hadoop file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it: cuts the lineage, and survives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df as it is (then Spark shuffles, and splits skewed keys).
-
-    Meant for materialized tables of a few narrow columns; counting those reads their footers only.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def ascii_lower(word: Column) -> Column:
     """A-Z lower-cased, all else as it is; for words, where most are pure ASCII."""
     return F.when(F.length(word) == F.octet_length(word), F.lower(word)).otherwise(F.translate(word, ASCII_UPPER, ASCII_UPPER.lower()))

@@ -14,7 +14,7 @@ the best language isn't among those asked for.
 
 Cases: a null or empty text is rejected, with the language that other evidence gives and text_lang null; null declared
 languages, hosts and suffixes are no evidence of their own (all null hosts form one host); languages with fewer than
-MIN_LABELS labelled rows aren't learned; if none is learned all rows are rejected with a null language; rows that repeat
+MIN_LABELS labelled rows, or under MIN_SHARE of all of them, aren't learned; if none is learned all rows are rejected with a null language; rows that repeat
 are judged alike; an empty table gives an empty result; other columns aren't touched.
 """
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import materialize, narrow
 from .urls import host, path
 
-TRAIN_ROWS, MIN_LABELS = 4000, 3
+#: Rows of a language that train it at most; rows, and share of all labelled rows, that a language needs to be learned. The
+#: share bounds the number of languages, and so the model that is sent to the workers.
+TRAIN_ROWS, MIN_LABELS, MIN_SHARE = 4000, 3, 0.001
 BUCKET_BITS = 16
 TEXT_WEIGHT = 120
 PRIOR_ROWS, DECLARED_ROWS = 20.0, 5.0
@@ -63,8 +65,9 @@ def train(rows: DataFrame, label: str, text: str, order: Column) -> tuple[list[s
     Spark counts; what comes to the driver are counts per language and bucket, a bounded number.
     """
     labelled = rows.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), order.alias("o"))
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(k for k, n in counts.items() if n >= MIN_LABELS)
+    needed = max(MIN_LABELS, MIN_SHARE * labelled.count())
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= needed).collect()}
+    languages = sorted(counts)
     if not languages:
         return [], np.zeros((1 << BUCKET_BITS, 0), np.float32), 0.0
     # The hash is even over 64 bits, so a bound on it gives the rows with the least hashes, about TRAIN_ROWS of each.

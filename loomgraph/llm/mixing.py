@@ -85,10 +85,11 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = materialize(sizes.withColumn("key", F.xxhash64("doc_id", "h", F.lit(seed))), "sizes")
     sources = materialize(sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_rows")), "sources")
     mix = targets(sources).withColumn("source_id", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    mix = materialize(mix.withColumn("upto", F.sum("target").over(Window.orderBy("source_id")) / F.col("total")), "targets")
+    upto = F.try_divide(F.sum("target").over(Window.orderBy("source_id")), F.col("total"))
+    mix = materialize(mix.withColumn("upto", F.coalesce(upto, F.lit(0.0))), "targets")
     total = mix.agg(F.max("total")).first()[0] or 0
     block = max(MIN_BLOCK, -(-total // SLOTS))
-    slots = schedule(spark, mix.select("source_id", F.coalesce("upto", F.lit(0.0)).alias("upto")), -(-total // block))
+    slots = schedule(spark, mix.select("source_id", "upto"), -(-total // block))
     used = slots.groupBy("source_id").agg(F.count("*").alias("slots"))
     # A cap holds for whole words, too: no source gives more than its epochs have.
     source_words = F.least(F.coalesce(F.col("slots"), F.lit(0)) * block, MAX_EPOCHS * F.col("source_size"))
@@ -113,11 +114,11 @@ def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # A row for each row of the plan and epoch that takes part of it; documents of the same id and text have the same number.
     epochs = sum((F.col("source_words") > e * F.col("source_size") + F.col("start")).cast("int") for e in range(MAX_EPOCHS))
     copies = plan.filter("size > 0").withColumn("__n", epochs).groupBy(F.col("doc_id").alias("__d"), "h", F.col("source").alias("__s")).agg(F.sum("__n").alias("__n"), F.count("*").alias("__rows"))
-    copies = copies.withColumnRenamed("h", "__h")
+    copies = narrow(materialize(copies.withColumnRenamed("h", "__h").filter("__n > 0"), "copies"))
     held = documents.select(F.struct(*documents.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.xxhash64(text_col).alias("__hash"))
     on = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")) & F.col("__source").eqNullSafe(F.col("__s"))
     each = F.expr("CAST(ceil(__n / __rows) AS INT)")
-    return held.join(copies, on).filter("__n > 0").select("__row", F.explode(F.array_repeat(F.lit(0), each)).alias("__epoch")).select("__row.*")
+    return held.join(copies, on).select("__row", F.explode(F.array_repeat(F.lit(0), each)).alias("__epoch")).select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

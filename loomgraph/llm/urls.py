@@ -47,9 +47,10 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(source, target, links); pages has host and html. Links that aren't http(s) or relative are left out."""
-    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:https?:)?//[^\s"'<>/?#]+|/|[^\s"'<>:]*)"""), F.lit(1))
+    hrefs = F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?([^\s"'<>]*)"""), F.lit(1))
     links = pages.filter("host <> ''").select(F.col("host").alias("source"), F.explode(hrefs).alias("href"))
-    outside = F.regexp_extract("href", r"^(?:[A-Za-z]+:)?//([^/?#]+)", 1)
+    outside = F.regexp_extract("href", r"^(?i:https?:)?//([^/?#]+)", 1)
+    links = links.filter((outside != "") | ~F.col("href").rlike("^[A-Za-z][A-Za-z0-9+.-]*:"))
     target = F.when(outside != "", F.translate(outside, ASCII_UPPER, ASCII_UPPER.lower())).otherwise(F.col("source"))
     return links.groupBy("source", target.alias("target")).agg(F.count("*").alias("links"))
 
@@ -64,7 +65,7 @@ def spread(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds:
     steps = edges.join(out, "source").select(F.lit("t").alias("kind"), F.col("source").alias("from"), F.col("target").alias("host"), (F.col("links") / F.col("all")).alias("share"))
     steps = steps.unionByName(edges.join(into, "target").select(F.lit("d").alias("kind"), F.col("target").alias("from"), F.col("source").alias("host"), (F.col("links") / F.col("all")).alias("share")))
     start = seeds.select(F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), "host", F.col(c).alias("seed")) for k, c in (("t", "trusted"), ("d", "blocked"))))).alias("s")).select("s.*")
-    known = edges.select(F.explode(F.array("source", "target")).alias("host")).distinct().crossJoin(F.broadcast(edges.sparkSession.createDataFrame([("t",), ("d",)], "kind string")))
+    known = edges.select(F.explode(F.array("source", "target")).alias("host")).distinct().select("host", F.explode(F.array(F.lit("t"), F.lit("d"))).alias("kind"))
     start = materialize(start.unionByName(known.select("kind", "host", F.lit(0.0).alias("seed"))).groupBy("kind", "host").agg(F.max("seed").alias("seed")), "seeds")
     stay = start.join(steps.select("kind", F.col("from").alias("host")).distinct(), ["kind", "host"], "left_anti").select("kind", F.col("host").alias("from"), "host", F.lit(1.0).alias("share"))
     steps = materialize(steps.unionByName(stay), "steps")
