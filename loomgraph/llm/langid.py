@@ -94,7 +94,8 @@ def train(rows: DataFrame, label: str, text: str, order: Column) -> tuple[list[s
 
 
 def score(rows: DataFrame, logs: np.ndarray) -> DataFrame:
-    """rows with ll (log-likelihoods by language) and n (trigrams) in place of text."""
+    """rows with, in place of text, t (log-likelihoods by language, scaled), p (their posteriors, all 0 without trigrams),
+    n (trigrams) and mean (the best language's log-likelihood of a trigram)."""
     model = rows.sparkSession.sparkContext.broadcast(logs)
     names = [c for c in rows.columns if c != "text"]
     fields = [rows.schema[c] for c in names]
@@ -102,25 +103,21 @@ def score(rows: DataFrame, logs: np.ndarray) -> DataFrame:
     def scan(batches):
         table = model.value
         for batch in batches:
-            ll, n = [], []
+            out = []
             for x in batch.column("text"):
                 total, k = np.zeros(table.shape[1]), 0
                 for g in trigrams(x.as_py()):
                     total += table[g].sum(axis=0, dtype=np.float64)
                     k += len(g)
-                ll.append(total.tolist())
-                n.append(k)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ll, pa.list_(pa.float64())), pa.array(n, pa.int64())], [*names, "ll", "n"])
+                t = total * min(1.0, TEXT_WEIGHT / max(k, 1))
+                p = np.exp(t - t.max())
+                out.append((t.tolist(), (p / p.sum() * (k > 0)).tolist(), k, float(total.max() / max(k, 1))))
+            cols = list(zip(*out)) if out else [()] * 4
+            types = (pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(cols, types))], [*names, "t", "p", "n", "mean"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(scan, f"{schema}, ll array<double>, n long")
-
-
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    raised = [F.exp(x - top) for x in logs]
-    total = sum(raised[1:], raised[0])
-    return [x / total for x in raised]
+    return rows.mapInArrow(scan, f"{schema}, t array<double>, p array<double>, n long, mean double")
 
 
 def identify(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
@@ -129,43 +126,38 @@ def identify(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     if not languages:
         null = F.lit(None).cast("string")
         return rows.select("id", "h", null.alias("text_lang"), null.alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
-    scored = materialize(score(rows, logs), "scores")
+    soft = materialize(score(rows, logs), "scores")
     each = range(len(languages))
-    weight = F.least(F.lit(1.0), F.lit(float(TEXT_WEIGHT)) / F.greatest("n", F.lit(1)))
-    scored = scored.select("*", *(x.alias(f"t{i}") for i, x in enumerate([F.col("ll")[i] * weight for i in each])))
-    soft = materialize(scored.select("id", "h", "declared", "suffix", "host", "n", *(f"t{i}" for i in each), (F.array_max("ll") / F.greatest("n", F.lit(1))).alias("mean"), *(p.alias(f"p{i}") for i, p in enumerate(_softmax([F.col(f"t{i}") for i in each])))), "soft")
-    has_text = F.col("n") > 0
-    sums = [F.sum(F.when(has_text, F.col(f"p{i}")).otherwise(0.0)) for i in each]
-    count = F.sum(has_text.cast("double"))
+    read = (F.col("n") > 0).cast("double")
+    count, sums = F.sum(read), [F.sum(F.col("p")[i]) for i in each]
     everything = soft.agg(count.alias("n"), *(s.alias(f"s{i}") for i, s in enumerate(sums))).first()
-    total = everything["n"] or 0.0
-    world = [((everything[f"s{i}"] or 0.0) + 1.0) / (total + len(languages)) for i in each]
-
-    # One row a host, suffix and declared language; joined null-safely.
-    hosts = soft.groupBy("host", "suffix").agg(count.alias("hn"), *(s.alias(f"h{i}") for i, s in enumerate(sums))).select(F.col("host").alias("host_"), F.col("suffix").alias("suffix_"), "hn", *(f"h{i}" for i in each))
-    suffixes = soft.groupBy("suffix").agg(count.alias("sn"), *(s.alias(f"s{i}") for i, s in enumerate(sums))).select(F.col("suffix").alias("suffix__"), "sn", *(f"s{i}" for i in each))
-    said = soft.filter("declared IS NOT NULL").groupBy("declared").agg(count.alias("dn"), *(s.alias(f"d{i}") for i, s in enumerate(sums)))
-    spoken = [F.sum(F.col(f"d{i}")) for i in each]
-    totals = materialize(said, "declared")
-    rows_said = totals.agg(F.sum("dn").alias("n"), *(s.alias(f"a{i}") for i, s in enumerate(spoken))).first()
-    n_said = rows_said["n"] or 1.0
-    declared = [F.log((F.col(f"d{i}") + DECLARED_ROWS * (F.col("dn") + 1) / (n_said + 1)) / ((rows_said[f"a{i}"] or 0.0) + DECLARED_ROWS)) for i in each]
-    totals = totals.select(F.col("declared").alias("declared_"), *(e.alias(f"e{i}") for i, e in enumerate(declared)))
+    world = [((everything[f"s{i}"] or 0.0) + 1.0) / ((everything["n"] or 0.0) + len(languages)) for i in each]
+
+    # One row a host, suffix and declared language.
+    named = lambda c: [s.alias(f"{c}{i}") for i, s in enumerate(sums)]
+    hosts = soft.groupBy(F.col("host").alias("host_"), F.col("suffix").alias("suffix_")).agg(count.alias("hn"), *named("h"))
+    suffixes = soft.groupBy(F.col("suffix").alias("suffix__")).agg(count.alias("sn"), *named("s"))
+    said = materialize(soft.filter("declared IS NOT NULL").groupBy("declared").agg(count.alias("dn"), *named("d")), "declared")
+    spoken = said.agg(F.sum("dn").alias("n"), *(F.sum(f"d{i}").alias(f"a{i}") for i in each)).first()
+    guess = DECLARED_ROWS * (F.col("dn") + 1) / ((spoken["n"] or 0.0) + 1)
+    logs_said = [F.log((F.col(f"d{i}") + guess) / ((spoken[f"a{i}"] or 0.0) + DECLARED_ROWS)) for i in each]
+    said = said.select(F.col("declared").alias("declared_"), F.array(*logs_said).alias("e"))
 
     out = soft.join(narrow(materialize(hosts, "hosts")), F.col("host").eqNullSafe(F.col("host_")) & F.col("suffix").eqNullSafe(F.col("suffix_")))
     out = out.join(narrow(materialize(suffixes, "suffixes")), F.col("suffix").eqNullSafe(F.col("suffix__")))
-    out = out.join(narrow(materialize(totals, "declared-logs")), F.col("declared") == F.col("declared_"), "left")
-    own = lambda i: F.when(has_text, F.col(f"p{i}")).otherwise(0.0)
+    out = out.join(narrow(materialize(said, "declared-logs")), F.col("declared") == F.col("declared_"), "left")
     fused = []
     for i in each:
         by_suffix = (F.col(f"s{i}") + PRIOR_ROWS * world[i]) / (F.col("sn") + PRIOR_ROWS)
-        by_host = (F.greatest(F.lit(0.0), F.col(f"h{i}") - own(i)) + PRIOR_ROWS * by_suffix) / (F.greatest(F.lit(0.0), F.col("hn") - has_text.cast("double")) + PRIOR_ROWS)
-        fused.append(F.col(f"t{i}") + F.log(by_host) + F.coalesce(F.col(f"e{i}"), F.lit(0.0)))
-    out = out.select("id", "h", "n", "mean", *(f"p{i}" for i in each), *(x.alias(f"f{i}") for i, x in enumerate(fused)))
+        others, n_others = F.greatest(F.lit(0.0), F.col(f"h{i}") - F.col("p")[i]), F.greatest(F.lit(0.0), F.col("hn") - read)
+        fused.append(F.col("t")[i] + F.log((others + PRIOR_ROWS * by_suffix) / (n_others + PRIOR_ROWS)) + F.coalesce(F.col("e")[i], F.lit(0.0)))
+    # Stored, so that what follows reads one array; in one plan, each use of it would repeat all of the above.
+    out = materialize(out.select("id", "h", "n", "mean", "p", F.array(*fused).alias("f")), "fused")
     names = F.array(*map(F.lit, languages))
-    best = lambda cols: names[F.array_position(F.array(*cols), F.array_max(F.array(*cols))).cast("int") - 1]
-    out = out.select("id", "h", "n", "mean", F.when(has_text, best([F.col(f"p{i}") for i in each])).alias("text_lang"), best([F.col(f"f{i}") for i in each]).alias("lang"), F.array_max(F.array(*_softmax([F.col(f"f{i}") for i in each]))).alias("posterior"))
-    kept = has_text & (F.col("mean") >= even - SLACK) & (F.col("posterior") >= MIN_POSTERIOR)
+    best = lambda c: names[F.array_position(c, F.array_max(c)).cast("int") - 1]
+    posterior = 1 / F.aggregate("f", F.lit(0.0), lambda s, x: s + F.exp(x - F.array_max("f")))
+    out = out.select("id", "h", "n", "mean", F.when(F.col("n") > 0, best(F.col("p"))).alias("text_lang"), best(F.col("f")).alias("lang"), posterior.alias("posterior"))
+    kept = (F.col("n") > 0) & (F.col("mean") >= even - SLACK) & (F.col("posterior") >= MIN_POSTERIOR)
     if keep is not None:
         kept = kept & F.col("lang").isin(keep)
     return out.select("id", "h", "text_lang", "lang", "posterior", kept.alias("kept"))
