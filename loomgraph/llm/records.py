@@ -22,6 +22,7 @@ side, each as a record; an empty table gives an empty folder; other columns aren
 from __future__ import annotations
 
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,11 +35,13 @@ from .common import materialize, narrow, scratch_path, worker_cache
 
 END_ID = 1
 #: Characters of text a file is made from, and payload bytes a block has at least.
-FILE_CHARS, BLOCK_BYTES = 16_000_000, 1 << 20
+FILE_CHARS, BLOCK_BYTES = 32_000_000, 1 << 20
 SEPARATOR = b"\xa2"
 NULL_ID, WIDE_IDS = 1, 2
 #: Words that an encoder remembers before it starts afresh.
 REMEMBERED = 600_000
+#: ASCII characters that are neither letters, digits nor white space, but for the apostrophe, which may start a piece.
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def masked(data: bytes) -> int:
@@ -83,19 +86,28 @@ def frames(content: bytes) -> Iterator[tuple[int, bytes]]:
 class WordEncoder(dict):
     """From a word's bytes to its packed ids, for a vocabulary that drops white space and lower-cases.
 
-    A word of Latin letters with a point or comma at its end is two pieces to such a vocabulary, so only the letters are
-    looked up. Texts with ``<|`` may hold a special token, whose letters' case counts; they are encoded as they are.
+    A word of Latin letters and a tail of punctuation are two pieces to such a vocabulary, so they are looked up apart; and letters alone need no normalising and splitting, so they go to the model as byte-level characters.
+    Whether all this holds is tried out on probes; otherwise texts are encoded whole. Texts with ``<|`` may hold a special
+    token, whose letters' case counts; they are encoded whole, too.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = "I" if self.wide else "H"
-        probe = "Ab, cd.\n x1's  é-f "
+        probe = "Ab, cd.\n x1's  é-f gh*** i;"
         whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
         self.by_word = whole == [i for w in probe.lower().split() for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
+        latin = [c for c in map(chr, range(0x61, 0x180)) if c.isalpha() and c == c.lower() == unicodedata.normalize("NFC", c)]
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {ord(c): level.pre_tokenize_str(c)[0][0] for c in latin}
+        self.known = frozenset(latin)
+        tried = ["".join(latin[i : i + 7]) for i in range(0, len(latin), 3)] + ["the", "über", "école", "niño"]
+        if any([t.id for t in self.tokenizer.model.tokenize(w.translate(self.letters))] != self.tokenizer.encode(w, add_special_tokens=False).ids for w in tried):
+            self.known = frozenset()
 
     def packed(self, text: str) -> bytes:
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -104,8 +116,10 @@ class WordEncoder(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         text = word.decode()
-        if len(text) > 1 and text[-1] in ".," and text[:-1].isalpha() and max(text) < "ɐ":
-            out = self[text[:-1].encode()] + self[text[-1:].encode()]
+        if self.known.issuperset(text):
+            out = array(self.kind, [t.id for t in self.tokenizer.model.tokenize(text.translate(self.letters))]).tobytes()
+        elif (letters := text.rstrip(PUNCTUATION)) and len(letters) < len(text) and self.known.issuperset(letters):
+            out = self[letters.encode()] + self[text[len(letters) :].encode()]
         else:
             out = self.packed(text)
         self[word] = out
@@ -173,7 +187,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_starts(index: DataFrame) -> DataFrame:
-    """index (materialized) with start: the ids ahead of the record in all files. Sums up a row a file."""
+    """index with start: the ids ahead of the record in all files. Sums up a row a file."""
     number = F.regexp_extract("file", r"part-(\d+)", 1).cast("long")
     files = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.sum("n").over(Window.orderBy(number, "file")).alias("upto"), "n")
     files = narrow(materialize(files.select("file", (F.col("upto") - F.col("n")).alias("ahead")), "files"))
@@ -181,9 +195,9 @@ def with_starts(index: DataFrame) -> DataFrame:
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
-    """Verify the files of path, write their index as Parquet, and return it as read."""
-    with_starts(materialize(read_index(spark, path), "index")).write.parquet(index_path)
-    return spark.read.parquet(index_path)
+    """Verify the files of path, write their index as Parquet, and return it as read, with starts."""
+    read_index(spark, path).write.parquet(index_path)
+    return with_starts(spark.read.parquet(index_path))
 
 
 def shuffled_read(spark: SparkSession, path: str, index: DataFrame, seed: int = 0) -> DataFrame:
