@@ -100,8 +100,12 @@ def grouped(edges: DataFrame, jobs: DataFrame, two_sided: bool = True, limit: fl
     if by is None:
         edges, jobs = edges.withColumn(key, F.lit(0)), jobs.withColumn(key, F.lit(0))
     kind = edges.schema[key].dataType.simpleString()
-    counts = jobs.select(key, "src").distinct().groupBy(key).agg(F.ceil(F.count("*") / BUCKET_SOURCES).cast("int").alias("__n"))
-    counts = narrow(materialize(counts, "buckets"))
+    # No more buckets than keep all cores busy: each gets a copy of its graph's edges, and goes through its sources in turn.
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+    counts = jobs.select(key, "src").distinct().groupBy(key).agg(F.count("*").alias("n"))
+    counts = materialize(counts, "sources")
+    most = max(1, -(-2 * cores // max(1, counts.count())))
+    counts = narrow(counts.select(key, F.least(F.ceil(F.col("n") / BUCKET_SOURCES), F.lit(most)).cast("int").alias("__n")))
     dealt = jobs.join(counts, key).select(key, F.pmod(F.xxhash64("src"), F.col("__n")).cast("int").alias("bucket"), F.lit(1).alias("what"), F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(None).cast("double").alias("w"))
     spread = edges.join(counts, key).select(key, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("bucket"), F.lit(0).alias("what"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("w").cast("double").alias("w"))
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Upper bound, in rows of a few narrow columns, for what may be broadcast.
 BROADCAST_ROWS = 400_000
+#: Upper bound, in the same terms, for what one task handles rather than a shuffle.
+TASK_ROWS = 2_000_000
 _FOLDERS: set[str] = set()
 
 
@@ -62,7 +64,7 @@ def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def compact(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def compact(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
     """df in one partition if it has at most so many rows, so that joins and groups of small tables need no shuffle.
 
     Larger ones stay as they are. Meant for materialized tables of a few narrow columns, as narrow is.
