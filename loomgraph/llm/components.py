@@ -7,10 +7,11 @@ summed up before the shuffle; a node with very many neighbours is joined by Spar
 components of all links inside buckets without making all pairs of a bucket: links between members that are connected
 already can't change a component, so
 
-1. in each star round, one member of each bucket (of its largest component) meets all members of other components;
+1. in each star round, one member of each bucket meets all members of other components: first the hub, which meets most
+   documents in all, then another one of the bucket's largest component;
 2. buckets whose members are in one component are done. In what remains, members outside the bucket's largest component
-   meet all members of other components in blocks, where a cheap test on the members' payload drops nearly all pairs
-   before any is made a row. Blocks bound what a task holds, whatever the size of the bucket.
+   meet all members of other components in blocks, which test pairs on the members' payloads before any is made a row.
+   Blocks bound what a task holds, whatever the size of the bucket.
 So the result is the same as with all pairs of each bucket.
 """
 
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow
+from .common import compact, materialize, narrow
 
 STAR_ROUNDS = 2
-BLOCK = 256
+#: Members, and bytes of payloads, of a block.
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -35,13 +37,13 @@ def _minima(edges: DataFrame) -> DataFrame:
 
 def large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return both.join(narrow(materialize(_minima(both), "minima")), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.join(_minima(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    mins = materialize(_minima(down), "minima")
-    linked = down.join(narrow(mins), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    mins = _minima(down)
+    linked = down.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(mins.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -51,36 +53,37 @@ def _sign(edges: DataFrame) -> tuple:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b). (id, component) of all ids in links; component is the least id reachable."""
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = compact(materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges"))
     last = None
     while (now := _sign(edges)) != last:
         last = now
-        edges = materialize(small_star(materialize(large_star(edges), "large")), "small")
+        edges = compact(materialize(small_star(large_star(edges)), "edges"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
 def _with_component(members: DataFrame, components: DataFrame) -> DataFrame:
     """members (id, ...) with comp; an id without links is its own component."""
-    return members.join(narrow(components), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    return members.join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
     """Members of buckets that have several components, with main: the component that most members are in."""
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
     several = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")).filter("comps > 1")
-    return members.join(narrow(materialize(several.drop("comps"), "open")), "key")
+    return members.join(several.drop("comps"), "key")
 
 
-def _blocks(members: DataFrame, close: Callable, payload_type: str) -> DataFrame:
-    """Pairs (a, b) of different components of a bucket that pass close(payloads of some, payloads of others) -> matrix."""
+def _blocks(members: DataFrame, match: Callable) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket that match finds. members has payload, bytes."""
+    sizes = members.groupBy("key").agg(F.sum(F.length("payload")).alias("bytes"))
+    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     side = F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.lit(1))
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("id"), n).cast("int")
-    base = members.select("key", "id", "comp", "payload", side.alias("side"), n.alias("n"), block.alias("block"))
-    # Each member stands in its own row of blocks as one of the others (if not of main), and in every row as one of all.
+    base = members.join(sizes, "key").withColumn("n", n).withColumn("side", side)
+    base = base.select("key", "id", "comp", "payload", "side", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
+    # A member outside main stands in its own row of blocks as one of some, and every member in each used row as one of all.
     rows = base.filter("side = 1").select("key", "id", "comp", "payload", F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"), F.lit(0).alias("what"))
-    used = base.filter("side = 1").select("key", F.col("block").alias("r")).distinct()
-    cols = base.join(used, "key").select("key", "id", "comp", "payload", "r", F.col("block").alias("c"), F.lit(1).alias("what"))
+    used = base.filter("side = 1").groupBy("key").agg(F.collect_set("block").alias("used"))
+    cols = base.join(used, "key").select("key", "id", "comp", "payload", F.explode("used").alias("r"), F.col("block").alias("c"), F.lit(1).alias("what"))
 
     def compare(table: pa.Table) -> pa.Table:
         import numpy as np
@@ -88,36 +91,45 @@ def _blocks(members: DataFrame, close: Callable, payload_type: str) -> DataFrame
         ids, comps, what = (np.asarray(table.column(c)) for c in ("id", "comp", "what"))
         payload = table.column("payload").to_pylist()
         left, right = np.flatnonzero(what == 0), np.flatnonzero(what == 1)
-        if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        hit = close([payload[i] for i in left], [payload[i] for i in right]) & (comps[left][:, None] != comps[right][None, :])
-        i, j = np.nonzero(hit)
-        a, b = ids[left][i], ids[right][j]
+        a = b = np.empty(0, np.int64)
+        if len(left) and len(right):
+            apart = comps[left][:, None] != comps[right][None, :]
+            i, j = match([payload[i] for i in left], [payload[j] for j in right], apart, table.column("key")[0].as_py())
+            a, b = ids[left][i], ids[right][j]
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return rows.unionByName(cols).groupBy("key", "r", "c").applyInArrow(compare, "a long, b long").distinct()
 
 
-def bucket_components(buckets: DataFrame, payloads: DataFrame, verify: Callable[[DataFrame], DataFrame], close: Callable, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(id, component) of ids with links. buckets: (key, id); payloads: (id, payload), a row an id; both materialized.
+def bucket_components(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], match: Callable, exact_match: bool, rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(id, component) of ids with links. buckets: (key, id).
 
-    verify takes pairs (a, b), a < b, and returns those linked; close(left, right) takes lists of payloads and returns a
-    matrix that is true wherever a link is possible.
+    verify takes materialized pairs (a, b), a < b, and returns those linked. payloads takes (id) and returns (id, payload), in bytes;
+    match takes payloads of some and of others, a matrix of the pairs that matter, and the bucket's key, and returns the
+    indices of pairs: those linked if exact_match, else all that may be, for verify to decide. It may leave out a pair in
+    all but one of the buckets that both are in.
     """
-    held = buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = materialize(buckets.join(held, "key"), "members")
-    spark = buckets.sparkSession
-    links, components = None, spark.createDataFrame([], "id long, component long")
+    held = narrow(materialize(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "held"))
+    members = compact(materialize(buckets.join(held, "key"), "members"))
+    # The hub is the member that meets most others; in a group of near copies that is the one closest to all.
+    met = members.groupBy("id").agg(F.sum("n").alias("met"))
+    members = members.drop("n")
+    links, components = None, buckets.sparkSession.createDataFrame([], "id long, component long")
     for i in range(rounds + 1):
-        now = materialize(_open_buckets(_with_component(members, components)), "open-members")
+        now = compact(materialize(_open_buckets(_with_component(members, components)), "open-members"))
         if now.isEmpty():
             break
         if i < rounds:
-            chosen = now.filter("comp = main").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(i))).alias("pivot") if i else F.min("id").alias("pivot"))
-            pairs = now.filter("comp <> main").join(narrow(materialize(chosen, "pivots")), "key").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+            rank = F.struct("met", -F.col("id")) if i == 0 else F.struct(F.xxhash64("id", F.lit(i)))
+            main = now.filter("comp = main") if i else now
+            chosen = (main if i else main.join(met, "id")).groupBy("key").agg(F.max_by("id", rank).alias("pivot"), F.max_by("comp", rank).alias("pivot_comp"))
+            pairs = now.join(chosen, "key").filter("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            found = verify(compact(materialize(pairs.distinct(), "pairs")))
         else:
-            pairs = _blocks(now.join(payloads, "id"), close, payloads.schema["payload"].dataType.simpleString())
-        found = materialize(verify(materialize(pairs, "pairs")).select("a", "b"), "links")
+            asked = materialize(now.select("id").distinct(), "asked")
+            found = _blocks(now.join(payloads(asked), "id"), match)
+            found = found if exact_match else verify(compact(materialize(found, "pairs")))
+        found = compact(materialize(found.select("a", "b"), "links"))
         links = found if links is None else links.unionByName(found)
-        components = materialize(connected_components(links), "components")
+        components = compact(materialize(connected_components(links), "components"))
     return components

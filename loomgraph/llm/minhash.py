@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow, worker_cache
+from .common import BROADCAST_ROWS, compact, in_batches, materialize, narrow
 from .components import bucket_components
+from .hashing import SEQUENCE_BASE, mix, sequences, words
 
 BANDS, ROWS = 32, 5
 PERMS = BANDS * ROWS
 MIN_SHARE = 0.64
-REMEMBERED = 600_000
+#: Bytes of texts that are hashed at a time.
+PIECE_BYTES = 1 << 18
 #: Shingles hashed at a time, so that a very long text needs no more memory than others.
 PIECE = 4096
 #: Parameters of the hash family; any odd multipliers do, and all workers must use the same.
@@ -43,33 +45,44 @@ MULTIPLY = _RANDOM.integers(0, 1 << 63, PERMS, dtype=np.uint64) * np.uint64(2) +
 ADD = _RANDOM.integers(0, 1 << 63, PERMS, dtype=np.uint64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_set(text: str | None, width: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < width:
-        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = len(w) - width + 1
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """For each text, the sorted distinct 64-bit hashes of its shingles."""
+    parts = [(t or "").encode().lower() for t in texts]
+    w, starts = words(b"\n".join(parts) + b"\n")
+    ends = np.searchsorted(starts, np.cumsum(np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))))
+    n = max(0, len(w) - width + 1)
     h = w[:n].copy()
     for i in range(1, width):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         h += w[i : i + n]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+    h = mix(h)
+    out, since = [], 0
+    for upto in ends.tolist():
+        if upto - since >= width:
+            s = np.sort(h[since : upto - width + 1])
+            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
+        else:  # the whole sequence, with its length in the hash
+            out.append(sequences(w[since:upto] + np.uint64(upto - since), np.array([0]), np.array([upto - since]), SEQUENCE_BASE) if upto > since else w[:0])
+        since = upto
+    return out
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    return shingle_sets([text], width)[0]
+
+
+def pieces(texts: pa.Array):
+    """Runs of texts of about PIECE_BYTES, as lists."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.as_py())
+        size += len(held[-1] or "")
+        if size >= PIECE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -104,11 +117,9 @@ def signed_sets(documents: DataFrame, width: int, id_col: str, text_col: str) ->
     """
 
     def scan(batches):
-        hashes = worker_cache("word-hashes", WordHashes)
         for batch in batches:
             rows = []
-            for text in batch.column(1):
-                s = shingle_set(text.as_py(), width, hashes)
+            for s in (s for texts in pieces(batch.column(1)) for s in shingle_sets(texts, width)):
                 if not len(s):
                     rows.append((0, None, None, None))
                     continue
@@ -119,14 +130,18 @@ def signed_sets(documents: DataFrame, width: int, id_col: str, text_col: str) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_shingles", "digest", "payload", "keys"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_shingles long, digest binary, payload binary, keys array<long>")
+    return in_batches(rows).mapInArrow(scan, "doc_id long, n_shingles long, digest binary, payload binary, keys array<long>")
+
 
+HEAD = 8 + PERMS
 
-def possible(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
+
+def possible(left: list[bytes], right: list[bytes], percent: int, fits: np.ndarray | None = None) -> np.ndarray:
     """Matrix of the pairs whose sizes and minima allow a link. Bytes of different minima agree by chance in 1 of 256."""
-    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (left, right))
+    a, b = (np.frombuffer(b"".join(p[:HEAD] for p in x), np.uint8).reshape(len(x), HEAD) for x in (left, right))
     na, nb = (np.ascontiguousarray(x[:, :8]).view(np.uint64)[:, 0].astype(np.int64) for x in (a, b))
-    fits = 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+    sizes = 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
+    fits = sizes if fits is None else sizes & fits
     least = int(PERMS * MIN_SHARE * percent / 80)
     for i in np.flatnonzero(fits.any(axis=1)):
         j = np.flatnonzero(fits[i])
@@ -134,6 +149,32 @@ def possible(left: list[bytes], right: list[bytes], percent: int) -> np.ndarray:
     return fits
 
 
+def matcher(width: int, percent: int) -> Callable:
+    """For payloads that go on with band keys and text: the linked pairs that matter, each in the first bucket that both share."""
+
+    def match(left, right, matter, key):
+        ka, kb = (np.frombuffer(b"".join(p[HEAD : HEAD + 8 * BANDS] for p in x), np.int64).reshape(len(x), BANDS) for x in (left, right))
+        matter = matter.copy()
+        for i in np.flatnonzero(matter.any(axis=1)):
+            j = np.flatnonzero(matter[i])
+            same = ka[i][None, :] == kb[j]
+            matter[i, j] = ka[i][same.argmax(axis=1)] == key
+        matter = possible(left, right, percent, matter)
+        sets: dict[int, np.ndarray] = {}
+        out = []
+        for i in np.flatnonzero(matter.any(axis=1)):
+            mine = shingle_set(left[i][HEAD + 8 * BANDS :].decode(), width)
+            for j in np.flatnonzero(matter[i]):
+                if j not in sets:
+                    sets[j] = shingle_set(right[j][HEAD + 8 * BANDS :].decode(), width)
+                if linked(mine, sets[j], percent):
+                    out.append((i, j))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    return match
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if not len(a) or not len(b) or 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -144,29 +185,36 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 def verifier(texts: DataFrame, payloads: DataFrame, width: int, percent: int) -> Callable[[DataFrame], DataFrame]:
     """A function that keeps the linked ones of pairs (a, b). texts: (id, text), payloads: (id, payload)."""
 
+    least = int(PERMS * MIN_SHARE * percent / 80)
+
     def rough(batches):
         for batch in batches:
-            keep = [bool(possible([x], [y], percent)[0, 0]) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, HEAD) for i in (2, 3))
+            nx, ny = (np.ascontiguousarray(z[:, :8]).view(np.uint64)[:, 0].astype(np.int64) for z in (x, y))
+            keep = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & ((x[:, 8:] == y[:, 8:]).sum(axis=1) >= least)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
     def full(batches):
-        hashes = worker_cache("word-hashes", WordHashes)
         held, at = np.empty(0, np.uint64), None
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
                 if a != at:
-                    held, at = shingle_set(x.as_py(), width, hashes), a
-                keep.append(linked(held, shingle_set(y.as_py(), width, hashes), percent))
+                    held, at = shingle_set(x.as_py(), width), a
+                keep.append(linked(held, shingle_set(y.as_py(), width), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        with_payload = pairs.join(payloads.select(F.col("id").alias("a"), F.col("payload").alias("p")), "a").join(payloads.select(F.col("id").alias("b"), F.col("payload").alias("q")), "b")
-        near = materialize(with_payload.select("a", "b", "p", "q").mapInArrow(rough, "a long, b long"), "near").distinct()
+        asked = narrow(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked"))
+        heads = compact(materialize(payloads.join(asked, "id", "left_semi"), "heads"), BROADCAST_ROWS)
+        with_payload = pairs.join(heads.select(F.col("id").alias("a"), F.col("payload").alias("p")), "a").join(heads.select(F.col("id").alias("b"), F.col("payload").alias("q")), "b")
+        near = compact(materialize(in_batches(with_payload.select("a", "b", "p", "q")).mapInArrow(rough, "a long, b long").distinct(), "near"))
         wanted = narrow(materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"))
         mine = materialize(texts.join(wanted, "id", "left_semi"), "texts")
         both = near.join(mine.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(full, "a long, b long")
+        return in_batches(both.select("a", "b", "x", "y")).mapInArrow(full, "a long, b long")
 
     return verify
 
@@ -175,16 +223,30 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     """(doc_id, n_shingles, component_id, kept), a row for each row of documents."""
     base = materialize(signed_sets(documents, width, id_col, text_col), "sets")
     reps = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    reps = materialize(reps, "reps")
     # Copies are left out; what stays is a row a class.
-    copies = base.join(narrow(reps.filter("size > 1")), "digest").filter("doc_id <> rep").select("digest", "doc_id").distinct()
+    reps = materialize(reps, "reps")
+    copies = base.select("digest", "doc_id").join(narrow(materialize(reps.filter("size > 1"), "repeated")), "digest").filter("doc_id <> rep").select("digest", "doc_id").distinct()
     signed = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(narrow(materialize(copies, "copies")), ["digest", "doc_id"], "left_anti").withColumnRenamed("doc_id", "id")
-    payloads = materialize(signed.select("id", "payload"), "payloads")
+    payloads = signed.select("id", "payload")
     buckets = materialize(signed.select(F.explode("keys").alias("key"), "id"), "buckets")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = bucket_components(buckets, payloads, verifier(texts, payloads, width, percent), lambda x, y: possible(x, y, percent))
+
+    def whole(asked: DataFrame) -> DataFrame:
+        """Payload, band keys and text of the asked ids."""
+        asked = narrow(asked)
+        heads = signed.join(asked, "id", "left_semi").select("id", "payload", "keys")
+        both = heads.join(texts.join(asked, "id", "left_semi"), "id").select("id", "payload", "keys", "text")
+
+        def glue(batches):
+            for batch in batches:
+                rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p + np.array(k, np.int64).tobytes() + t.as_py().encode() for p, k, t in rows], pa.binary())], ["id", "payload"])
+
+        return in_batches(both).mapInArrow(glue, "id long, payload binary")
+
+    found = bucket_components(buckets, whole, verifier(texts, payloads, width, percent), matcher(width, percent), exact_match=True)
     # Classes of one document without a link need no join back.
-    known = reps.join(narrow(found), reps.rep == found.id, "left").select("digest", F.coalesce("component", "rep").alias("component"), "rep", "size").filter("size > 1 OR component <> rep")
+    known = reps.join(found, reps.rep == found.id, "left").select("digest", F.coalesce("component", "rep").alias("component"), "rep", "size").filter("size > 1 OR component <> rep")
     known = narrow(materialize(known.select("digest", "component"), "known"))
     out = base.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
     component = F.coalesce("component", "doc_id")
@@ -200,3 +262,19 @@ def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=4)
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS shingle
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, c) USING KEY (id) AS (
+  SELECT doc_id, doc_id FROM d
+  UNION
+  SELECT e.b, min(r.c) FROM r JOIN e ON e.a = r.id JOIN recurring.r k ON k.id = e.b GROUP BY e.b, k.c HAVING min(r.c) < k.c)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept FROM d JOIN r ON r.id = d.doc_id LEFT JOIN n USING (doc_id)
+"""

@@ -17,5 +17,6 @@ QUERIES = {
 }
 ORACLE = {
     "op1_decontamination": decontam.ORACLE,
+    "op4_near_dedup": minhash.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
