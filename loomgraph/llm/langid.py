@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow
+from .common import in_batches, materialize, narrow
 from .urls import host, path
 
 #: Rows of a language that train it at most; rows, and share of all labelled rows, that a language needs to be learned. The
@@ -86,7 +86,7 @@ def train(rows: DataFrame, label: str, text: str, order: Column) -> tuple[list[s
 
     sample = labelled.filter(F.col("label").isin(languages) & (F.col("o") <= bound)).select("label", "text")
     table = np.zeros((1 << BUCKET_BITS, len(languages)))
-    for r in sample.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in in_batches(sample).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         table[r.bucket, languages.index(r.lang)] = r.n
     known = np.count_nonzero(table.sum(axis=1))
     logs = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * (1 << BUCKET_BITS))).astype(np.float32)
@@ -117,7 +117,7 @@ def score(rows: DataFrame, logs: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(c, t) for c, t in zip(cols, types))], [*names, "t", "p", "n", "mean"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(scan, f"{schema}, t array<double>, p array<double>, n long, mean double")
+    return in_batches(rows).mapInArrow(scan, f"{schema}, t array<double>, p array<double>, n long, mean double")
 
 
 def identify(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:

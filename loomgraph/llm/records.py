@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, narrow, scratch_path, worker_cache
+from .common import in_batches, materialize, narrow, scratch_path, worker_cache
 
 END_ID = 1
 #: Characters of text a file is made from, and payload bytes a block has at least.
@@ -39,7 +39,7 @@ FILE_CHARS, BLOCK_BYTES = 32_000_000, 1 << 20
 SEPARATOR = b"\xa2"
 NULL_ID, WIDE_IDS = 1, 2
 #: Words that an encoder remembers before it starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: ASCII characters that are neither letters, digits nor white space, but for the apostrophe, which may start a piece.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
@@ -159,7 +159,7 @@ def write_records(documents: DataFrame, vocabulary: str, path: str, end_id: int
         if held:
             yield done()
 
-    lines = rows.mapInArrow(blocks, "value binary").select(F.col("value").cast("string"))
+    lines = in_batches(rows).mapInArrow(blocks, "value binary").select(F.col("value").cast("string"))
     lines.write.option("encoding", "ISO-8859-1").option("lineSep", SEPARATOR.decode("latin-1")).text(path)
 
 
@@ -183,7 +183,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                     before += len(ids)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 7, [pa.string(), *[pa.int64()] * 6])], ["file", "doc_id", "offset", "length", "n_tokens", "before", "ids_crc32"])
 
-    return _files(spark, path).mapInArrow(scan, "file string, doc_id long, offset long, length long, n_tokens long, before long, ids_crc32 long")
+    return in_batches(_files(spark, path)).mapInArrow(scan, "file string, doc_id long, offset long, length long, n_tokens long, before long, ids_crc32 long")
 
 
 def with_starts(index: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def shuffled_read(spark: SparkSession, path: str, index: DataFrame, seed: int =
                 got = [(w["place"], *unpack(next(frames(content[w["offset"] : w["offset"] + w["length"]]))[1])) for w in wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([list(g[2]) for g in got], pa.list_(pa.int64()))], ["place", "doc_id", "ids"])
 
-    return _files(spark, path).join(wanted, "file").select("content", "wanted").mapInArrow(cut, "place long, doc_id long, ids array<long>").orderBy("place")
+    return in_batches(_files(spark, path).join(wanted, "file").select("content", "wanted")).mapInArrow(cut, "place long, doc_id long, ids array<long>").orderBy("place")
 
 
 def vocabulary_path() -> str:

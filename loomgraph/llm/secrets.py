@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import in_batches, worker_cache
 
 # Fixed values of the base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -103,7 +103,7 @@ def find_secrets(documents: DataFrame, rank_file: str, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(search, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
+    return in_batches(rows).mapInArrow(search, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_random long")
 
 
 def redact(documents: DataFrame, rank_file: str, text_col: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -126,7 +126,7 @@ def redact(documents: DataFrame, rank_file: str, text_col: str = "text", mask: s
         for batch in batches:
             yield batch.set_column(at, batch.schema.field(at).name, pa.array([clean(t.as_py(), encoding) for t in batch.column(at)], batch.schema.field(at).type))
 
-    return documents.mapInArrow(rewrite, schema)
+    return in_batches(documents).mapInArrow(rewrite, schema)
 
 
 def rank_path() -> str:

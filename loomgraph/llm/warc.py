@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_batches
+
 VERSION = "WARC/1.1"
 #: Pages carry no date; responses made from them have this one unless told otherwise.
 NO_DATE = "1970-01-01T00:00:00Z"
@@ -111,7 +113,7 @@ def responses(pages: DataFrame, date: str = NO_DATE) -> DataFrame:
             cols = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary() if k == 6 else pa.string()) for k, c in enumerate(cols))], ["page_id", *(x.split()[0] for x in RECORD.split(", "))])
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(make, f"page_id long, {RECORD}")
+    return in_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")).mapInArrow(make, f"page_id long, {RECORD}")
 
 
 def fields(headers: str) -> dict[str, str]:
@@ -161,7 +163,7 @@ def derivatives(records: DataFrame, id_col: str | None = None) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     key = F.col(id_col).cast("long") if id_col else F.lit(None).cast("long")
     wanted = records.filter("record_type = 'response'").select(key.alias("id"), "record_id", "target_uri", "warc_date", "warc_headers", "http_headers", "payload")
-    return wanted.mapInArrow(make, schema)
+    return in_batches(wanted).mapInArrow(make, schema)
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -203,7 +205,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*rows)) if rows else [()] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if k == 6 else pa.string()) for k, c in enumerate(cols)], [x.split()[0] for x in RECORD.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(scan, RECORD)
+    return in_batches(spark.read.format("binaryFile").load(path).select("content")).mapInArrow(scan, RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
