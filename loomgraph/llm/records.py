@@ -35,11 +35,11 @@ from .common import in_batches, materialize, narrow, scratch_path, worker_cache
 
 END_ID = 1
 #: Characters of text a file is made from, and payload bytes a block has at least.
-FILE_CHARS, BLOCK_BYTES = 32_000_000, 1 << 20
+FILE_CHARS, BLOCK_BYTES = 16_000_000, 1 << 20
 SEPARATOR = b"\xa2"
 NULL_ID, WIDE_IDS = 1, 2
 #: Words that an encoder remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: ASCII characters that are neither letters, digits nor white space, but for the apostrophe, which may start a piece.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
