@@ -8,7 +8,9 @@
 3. Blocks. A source's documents are shuffled by a hash of id and text and laid end to end, epoch after epoch. Rank r of
    the source takes the words from ``r * block`` on. Positions come from sums per (source, bucket of the hash), so a
    source that holds most rows is spread over many tasks.
-The number of slots is at most SLOTS at any size of the corpus, so the schedule's cost is constant; the block grows.
+A block has MIN_BLOCK words, more from SLOTS slots on, and MAX_BLOCK at most; from there the slots grow with the corpus.
+Golden-ratio points miss a source's share by some slots, all of them for a small source. So the count of a source's words
+comes from its target, not from its slots: every source ends within a word of its target, whatever the block.
 
 Cases: a null text has size 0; null sources form one source, weighed after all others; rows with the same id and text
 lie side by side and are counted each; an empty table, or one without words, has targets 0 and takes nothing; other
@@ -24,7 +26,7 @@ from .common import materialize, narrow
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-SLOTS, MIN_BLOCK = 1 << 20, 8
+SLOTS, MIN_BLOCK, MAX_BLOCK = 1 << 20, 8, 256
 GOLDEN = 0.6180339887498949
 #: Rows of a bucket, the unit within which positions are found by sorting.
 BUCKET_ROWS = 4096
@@ -88,12 +90,11 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     upto = F.try_divide(F.sum("target").over(Window.orderBy("source_id")), F.col("total"))
     mix = materialize(mix.withColumn("upto", F.coalesce(upto, F.lit(0.0))), "targets")
     total = mix.agg(F.max("total")).first()[0] or 0
-    block = max(MIN_BLOCK, -(-total // SLOTS))
+    block = min(MAX_BLOCK, max(MIN_BLOCK, -(-total // SLOTS)))
     slots = schedule(spark, mix.select("source_id", "upto"), -(-total // block))
-    used = slots.groupBy("source_id").agg(F.count("*").alias("slots"))
-    # A cap holds for whole words, too: no source gives more than its epochs have.
-    source_words = F.least(F.coalesce(F.col("slots"), F.lit(0)) * block, MAX_EPOCHS * F.col("source_size"))
-    mix = materialize(mix.join(used, "source_id", "left").select("source", "source_id", "source_size", "n_rows", "target", source_words.alias("source_words")), "mix")
+    # A cap holds for whole words, too: no source gives more than its epochs have. One with a target gives a word at least.
+    source_words = F.least(F.ceil("target"), MAX_EPOCHS * F.col("source_size"))
+    mix = materialize(mix.select("source", "source_id", "source_size", "n_rows", "target", source_words.alias("source_words")), "mix")
     rows = sizes.join(narrow(mix), sizes.source.eqNullSafe(mix.source)).drop(mix.source)
     rows = rows.withColumn("bucket", F.pmod(F.shiftright("key", 24), F.ceil(F.col("n_rows") / BUCKET_ROWS)))
     sums = rows.groupBy("source_id", "bucket").agg(F.sum("size").alias("n"))

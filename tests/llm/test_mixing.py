@@ -85,3 +85,18 @@ def test_ties_empty_and_wordless(docs):
     twice = mixing.mix_plan(docs([(1, "a b c", None, "s")] * 4))[0].agg(F.sum("taken")).first()[0]
     assert abs(twice - 12) <= mixing.MIN_BLOCK
     assert mixing.mixed_documents(docs([(1, "a b c", None, "s")] * 4)).count() >= 4
+
+
+def test_small_sources_get_their_targets(docs, monkeypatch):
+    """With few, large blocks the schedule names no slot for most of these sources."""
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    monkeypatch.setattr(mixing, "MIN_BLOCK", 1)
+    data = [(0, "w " * 3000, None, "a")] + [(i, "w " * (i % 7 + 1), None, f"b{i:02d}") for i in range(1, 30)]
+    plan = mixing.mix_plan(docs(data))[0].collect()
+    assert all(abs(r.taken - r.target) <= 1 and r.taken > 0 for r in plan)
+
+
+def test_blocks_stop_growing(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    _, slots, block = mixing.mix_plan(docs([(0, "w " * 20000, None, "a"), (1, "w " * 20000, None, "b")]))
+    assert block == mixing.MAX_BLOCK and slots.count() == -(-40000 // block)
