@@ -5,9 +5,10 @@
 2. Schedule. Slot i of the mix stands for a block of ``block`` words. The golden-ratio point ``frac((i + 1/2) / phi)``,
    mapped through the sources' cumulative shares, names the slot's source, so any stretch of slots holds each source in
    proportion. Slots are ranked per source: summed up by chunks of slots first, so no source's slots meet in one task.
-3. Blocks. A source's documents are shuffled by a hash of id and text and laid end to end, epoch after epoch. Rank r of
-   the source takes the words from ``r * block`` on. Positions come from sums per (source, bucket of the hash), so a
-   source that holds most rows is spread over many tasks.
+3. Blocks. A source's documents are shuffled by a hash of id and text and laid end to end, epoch after epoch, and cut into
+   blocks. Rank r of the source takes the words from ``r * block`` on: ranks and blocks are joined by source and number,
+   and what a document gives is the sum of its joined pieces. The mix is in the order of the slots. Positions come from
+   sums per (source, bucket of the hash), so a source that holds most rows is spread over many tasks.
 A block has MIN_BLOCK words, more from SLOTS slots on, and MAX_BLOCK at most; from there the slots grow with the corpus.
 Golden-ratio points miss a source's share by some slots, all of them for a small source. So the count of a source's words
 comes from its target, not from its slots: every source ends within a word of its target, whatever the block.
@@ -75,13 +76,34 @@ def schedule(spark, mix: DataFrame, slots: int) -> DataFrame:
     return placed.withColumn("within", within).join(ahead, ["source_id", "chunk"]).select("slot", "source_id", (F.col("ahead") + F.col("within")).alias("rank"))
 
 
-def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """(plan, schedule, block).
+def placed_ranks(mix: DataFrame, slots: DataFrame, n_slots: int, block: int) -> DataFrame:
+    """(source_id, rank, position) of all blocks that sources give; mix: (source_id, source_words).
 
-    plan has a row for each row of documents: (doc_id, h, size, source, source_size, target, start, source_words, taken).
-    start is the document's first word in its source's shuffled stream; the mix takes source_words of the source, words
-    ``[0, source_words)`` of its stream and of the stream's repeats; taken is the document's part of them.
+    A rank's position is its slot. Ranks beyond a source's slots, a few at most, are spread evenly over the mix, and slots
+    beyond its words stay empty.
     """
+    used = slots.groupBy("source_id").agg(F.count("*").alias("slots"))
+    blocks = F.ceil(F.col("source_words") / block).alias("blocks")
+    wanted = materialize(mix.join(used, "source_id", "left").select("source_id", blocks, F.coalesce("slots", F.lit(0)).alias("slots")), "wanted")
+    dealt = slots.join(narrow(wanted.select("source_id", "blocks")), "source_id").filter("rank < blocks").select("source_id", "rank", F.col("slot").cast("double").alias("position"))
+    more = wanted.filter("blocks > slots").select("source_id", "blocks", "slots", F.explode(F.sequence("slots", F.col("blocks") - 1)).alias("rank"))
+    position = n_slots * (F.col("rank") - F.col("slots") + 0.5) / (F.col("blocks") - F.col("slots"))
+    return dealt.unionByName(more.select("source_id", "rank", position.alias("position")))
+
+
+def pieces(rows: DataFrame, ranks: DataFrame, block: int) -> DataFrame:
+    """(row, epoch, rank, first, words, position): rows (row, size, source_id, source_size, start, source_words) cut into
+    blocks and joined with their places; first tells a row's first piece of an epoch."""
+    epochs = rows.filter("size > 0 AND start < source_words").select("row", "size", "source_id", "source_words", F.explode(F.array(*map(F.lit, range(MAX_EPOCHS)))).alias("epoch"), (F.col("epoch") * F.col("source_size") + F.col("start")).alias("since"))
+    epochs = epochs.filter("since < source_words").withColumn("upto", F.least(F.col("since") + F.col("size"), F.col("source_words")))
+    number = lambda c: F.floor(c / block)
+    cut = epochs.withColumn("rank", F.explode(F.sequence(number(F.col("since")), number(F.col("upto") - 1))))
+    words_of = F.least("upto", (F.col("rank") + 1) * block) - F.greatest("since", F.col("rank") * block)
+    return cut.join(ranks, ["source_id", "rank"]).select("row", "epoch", "rank", (F.col("rank") == number(F.col("since"))).alias("first"), words_of.alias("words"), "position")
+
+
+def _planned(documents: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(rows, pieces, schedule, block); rows is mix_plan's plan with source_id and row, a number, but without taken."""
     spark = documents.sparkSession
     sizes = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("h"), words(F.col(text_col)).alias("size"))
     sizes = materialize(sizes.withColumn("key", F.xxhash64("doc_id", "h", F.lit(seed))), "sizes")
@@ -91,7 +113,8 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     mix = materialize(mix.withColumn("upto", F.coalesce(upto, F.lit(0.0))), "targets")
     total = mix.agg(F.max("total")).first()[0] or 0
     block = min(MAX_BLOCK, max(MIN_BLOCK, -(-total // SLOTS)))
-    slots = schedule(spark, mix.select("source_id", "upto"), -(-total // block))
+    n_slots = -(-total // block)
+    slots = materialize(schedule(spark, mix.select("source_id", "upto"), n_slots), "schedule")
     # A cap holds for whole words, too: no source gives more than its epochs have. One with a target gives a word at least.
     source_words = F.least(F.ceil("target"), MAX_EPOCHS * F.col("source_size"))
     mix = materialize(mix.select("source", "source_id", "source_size", "n_rows", "target", source_words.alias("source_words")), "mix")
@@ -102,24 +125,43 @@ def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ahead = narrow(materialize(ahead, "buckets"))
     inner = F.sum("size").over(Window.partitionBy("source_id", "bucket").orderBy("key", "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     rows = rows.withColumn("inner", inner).join(ahead, ["source_id", "bucket"]).withColumn("start", F.col("ahead") + F.col("inner"))
-    parts = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("source_words") - e * F.col("source_size") - F.col("start"))) for e in range(MAX_EPOCHS)]
-    return rows.select("doc_id", "h", "size", "source", "source_size", "target", "start", "source_words", sum(parts).cast("long").alias("taken")), slots, block
+    rows = materialize(rows.select("doc_id", "h", "size", "source", "source_id", "source_size", "target", "start", "source_words").withColumn("row", F.monotonically_increasing_id()), "rows")
+    ranks = placed_ranks(mix, slots, n_slots, block)
+    return rows, pieces(rows, ranks, block), slots, block
+
+
+def mix_plan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> tuple[DataFrame, DataFrame, int]:
+    """(plan, schedule, block).
+
+    plan has a row for each row of documents: (doc_id, h, size, source, source_size, target, start, source_words, taken).
+    start is the document's first word in its source's shuffled stream; the mix takes source_words of the source, words
+    ``[0, source_words)`` of its stream and of the stream's repeats; taken is the document's part of them.
+    """
+    rows, joined, slots, block = _planned(documents, id_col, text_col, source_col, seed)
+    taken = joined.groupBy("row").agg(F.sum("words").alias("taken"))
+    plan = rows.join(taken, "row", "left").select("doc_id", "h", "size", "source", "source_size", "target", "start", "source_words", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return plan, slots, block
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as rows of documents with all their columns: a row for each epoch that takes words of the document.
 
-    Documents stay whole, so the one at the end of a source's stretch may add some words more.
+    Rows are in the order of the slots that their first words stand in. Documents stay whole, so the one at the end of a
+    source's stretch may add some words more.
     """
-    plan, _, _ = mix_plan(documents, id_col, text_col, source_col)
-    # A row for each row of the plan and epoch that takes part of it; documents of the same id and text have the same number.
-    epochs = sum((F.col("source_words") > e * F.col("source_size") + F.col("start")).cast("int") for e in range(MAX_EPOCHS))
-    copies = plan.filter("size > 0").withColumn("__n", epochs).groupBy(F.col("doc_id").alias("__d"), "h", F.col("source").alias("__s")).agg(F.sum("__n").alias("__n"), F.count("*").alias("__rows"))
-    copies = narrow(materialize(copies.withColumnRenamed("h", "__h").filter("__n > 0"), "copies"))
+    rows, joined, _, _ = _planned(documents, id_col, text_col, source_col, 0)
+    # A place for each row of the plan and epoch that takes part of it; documents of the same id and text share theirs evenly.
+    firsts = joined.filter("first").groupBy("row").agg(F.collect_list(F.struct("position", "rank", "epoch")).alias("places"))
+    held = rows.filter("size > 0").join(firsts, "row", "left").select(F.col("doc_id").alias("__d"), F.col("h").alias("__h"), F.col("source").alias("__s"), "start", "places")
+    places = F.sort_array(F.flatten(F.collect_list(F.transform(F.coalesce("places", F.array().cast("array<struct<position:double,rank:bigint,epoch:int>>")), lambda x: F.struct(x["epoch"].alias("epoch"), F.col("start").alias("start"), x["position"].alias("position"), x["rank"].alias("rank"))))))
+    copies = held.groupBy("__d", "__h", "__s").agg(places.alias("__places"), F.count("*").cast("int").alias("__rows")).filter("size(__places) > 0")
+    # Every __rows-th place from the first on: each of the equal rows stands once an epoch.
+    mine = F.filter("__places", lambda x, i: i % F.col("__rows") == 0)
+    copies = narrow(materialize(copies.select("__d", "__h", "__s", mine.alias("__places")), "copies"))
     held = documents.select(F.struct(*documents.columns).alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.xxhash64(text_col).alias("__hash"))
     on = F.col("__id").eqNullSafe(F.col("__d")) & (F.col("__hash") == F.col("__h")) & F.col("__source").eqNullSafe(F.col("__s"))
-    each = F.expr("CAST(ceil(__n / __rows) AS INT)")
-    return held.join(copies, on).select("__row", F.explode(F.array_repeat(F.lit(0), each)).alias("__epoch")).select("__row.*")
+    out = held.join(copies, on).select("__row", F.explode("__places").alias("__place"))
+    return out.orderBy("__place.position", "__place.rank", "__place.epoch", "__place.start").select("__row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

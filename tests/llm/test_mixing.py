@@ -100,3 +100,32 @@ def test_blocks_stop_growing(docs, monkeypatch):
     monkeypatch.setattr(mixing, "SLOTS", 4)
     _, slots, block = mixing.mix_plan(docs([(0, "w " * 20000, None, "a"), (1, "w " * 20000, None, "b")]))
     assert block == mixing.MAX_BLOCK and slots.count() == -(-40000 // block)
+
+
+def test_pieces_are_ranks_joined_to_blocks(docs):
+    rows_, joined, slots, block = mixing._planned(docs(rows()), "doc_id", "text", "source", 0)
+    held = {r.row: r for r in rows_.collect()}
+    place = {(r.source_id, r["rank"]): r.slot for r in slots.collect()}
+    sums, seen = {}, {}
+    for r in joined.collect():
+        source = held[r.row].source_id
+        since = r.epoch * held[r.row].source_size + held[r.row].start
+        assert 0 < r.words <= block and since // block <= r["rank"] <= (since + held[r.row].size - 1) // block
+        assert r.first == (r["rank"] == since // block)
+        if (source, r["rank"]) in place:
+            assert r.position == place[source, r["rank"]]
+        sums[source, r["rank"]] = sums.get((source, r["rank"]), 0) + r.words
+        seen[source] = seen.get(source, 0) + r.words
+    # Every block is whole but for a source's last one.
+    for source, n in seen.items():
+        words = next(h.source_words for h in held.values() if h.source_id == source)
+        assert n == words and all(sums[source, k] == min(block, words - k * block) for k in range(-(-words // block)))
+
+
+def test_mix_is_in_the_order_of_the_slots(docs):
+    """Sources that lie one after the other in the table alternate in the mix."""
+    data = [(i, " ".join(["w"] * 20), None, "a" if i < 200 else "b") for i in range(400)]
+    order = [r.source for r in mixing.mixed_documents(docs(data)).collect()]
+    share = order.count("a") / len(order)
+    for n in range(40, len(order), 40):
+        assert abs(order[:n].count("a") - share * n) < 6
