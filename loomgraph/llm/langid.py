@@ -14,14 +14,13 @@ the best language isn't among those asked for.
 
 Cases: a null or empty text is rejected, with the language that other evidence gives and text_lang null; null declared
 languages, hosts and suffixes are no evidence of their own (all null hosts form one host); languages with fewer than
-MIN_LABELS labelled rows, or under MIN_SHARE of all of them, aren't learned; if none is learned all rows are rejected with a null language; rows that repeat
-are judged alike; an empty table gives an empty result; other columns aren't touched.
+MIN_LABELS labelled rows aren't learned, all others are, whatever their share; if none is learned all rows are rejected with
+a null language; rows that repeat are judged alike; an empty table gives an empty result; other columns aren't touched.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +30,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, materialize, narrow
 from .urls import host, path
 
-#: Rows of a language that train it at most; rows, and share of all labelled rows, that a language needs to be learned. The
-#: share bounds the number of languages, and so the model that is sent to the workers.
-TRAIN_ROWS, MIN_LABELS, MIN_SHARE = 4000, 3, 0.001
+#: Rows of a language that train it at most; rows that a language needs to be learned.
+TRAIN_ROWS, MIN_LABELS = 4000, 3
 BUCKET_BITS = 16
 TEXT_WEIGHT = 120
 PRIOR_ROWS, DECLARED_ROWS = 20.0, 5.0
@@ -59,56 +57,74 @@ def trigrams(text: str | None):
         yield g * np.uint32(0x9E3779B1) >> np.uint32(32 - BUCKET_BITS)
 
 
-def train(rows: DataFrame, label: str, text: str, order: Column) -> tuple[list[str], np.ndarray, float]:
-    """(languages, log-probabilities of buckets by language, log-likelihood of a trigram that is as good as any known one).
+class Model:
+    """Log-probabilities of buckets by language: what an unseen bucket has, and what each seen one has above that.
 
-    Spark counts; what comes to the driver are counts per language and bucket, a bounded number.
+    Only seen pairs of bucket and language are held, so a rare language costs as much as its few rows have trigrams.
+    """
+
+    def __init__(self, buckets: np.ndarray, languages: np.ndarray, counts: np.ndarray, n: int):
+        order = np.argsort(buckets, kind="stable")
+        totals = np.bincount(languages, counts, n) + ALPHA * (1 << BUCKET_BITS)
+        self.starts = np.concatenate(([0], np.cumsum(np.bincount(buckets, minlength=1 << BUCKET_BITS))))
+        self.languages = languages[order].astype(np.int32)
+        self.above = np.log1p(counts[order] / ALPHA).astype(np.float32)
+        self.unseen = math.log(ALPHA) - np.log(totals)
+
+    def total(self, text: str | None) -> tuple[np.ndarray, int]:
+        """(log-likelihoods by language, trigrams) of a text."""
+        total, k = np.zeros(len(self.unseen)), 0
+        for g in trigrams(text):
+            found, times = np.unique(g, return_counts=True)
+            sizes = self.starts[found + 1] - self.starts[found]
+            at = np.repeat(self.starts[found] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            total += np.bincount(self.languages[at], self.above[at] * np.repeat(times, sizes), len(total))
+            k += len(g)
+        return total + k * self.unseen, k
+
+
+def train(rows: DataFrame, label: str, text: str, order: Column) -> tuple[list[str], Model | None, float]:
+    """(languages, model, log-likelihood of a trigram that is as good as any known one).
+
+    Spark counts; what comes to the driver are counts per language and bucket that occur.
     """
     labelled = rows.filter(F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("label"), F.col(text).alias("text"), order.alias("o"))
-    needed = max(MIN_LABELS, MIN_SHARE * labelled.count())
-    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= needed).collect()}
+    counts = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_LABELS).collect()}
     languages = sorted(counts)
     if not languages:
-        return [], np.zeros((1 << BUCKET_BITS, 0), np.float32), 0.0
+        return [], None, 0.0
     # The hash is even over 64 bits, so a bound on it gives the rows with the least hashes, about TRAIN_ROWS of each.
-    bound = reduce(lambda c, k: c.when(F.col("label") == k, F.lit(min((1 << 63) - 1, (1 << 64) * min(TRAIN_ROWS, counts[k]) // counts[k] - (1 << 63)))), languages, F)
+    bounds = [(i, k, min((1 << 63) - 1, (1 << 64) * min(TRAIN_ROWS, counts[k]) // counts[k] - (1 << 63))) for i, k in enumerate(languages)]
+    bounds = narrow(rows.sparkSession.createDataFrame(bounds, "lang int, known string, bound long"))
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
         for batch in batches:
+            # Counted a batch at a time, so a task holds no counts of all languages.
+            keys = [np.empty(0, np.int64)]
             for lang, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                into = sums.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
-                for g in trigrams(x.as_py()):
-                    into += np.bincount(g, minlength=1 << BUCKET_BITS)
-        for lang, into in sums.items():
-            at = np.flatnonzero(into)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(into[at], pa.int64())], ["lang", "bucket", "n"])
-
-    sample = labelled.filter(F.col("label").isin(languages) & (F.col("o") <= bound)).select("label", "text")
-    table = np.zeros((1 << BUCKET_BITS, len(languages)))
-    for r in in_batches(sample).mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[r.bucket, languages.index(r.lang)] = r.n
-    known = np.count_nonzero(table.sum(axis=1))
-    logs = np.log((table + ALPHA) / (table.sum(axis=0) + ALPHA * (1 << BUCKET_BITS))).astype(np.float32)
-    return languages, logs, -math.log(max(known, 2))
-
-
-def score(rows: DataFrame, logs: np.ndarray) -> DataFrame:
+                keys += [g.astype(np.int64) | lang << BUCKET_BITS for g in trigrams(x.as_py())]
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["key", "n"])
+
+    sample = labelled.join(bounds, F.col("label") == F.col("known")).filter(F.col("o") <= F.col("bound")).select("lang", "text")
+    summed = in_batches(sample).mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key, n = (np.asarray(summed.column(c)) for c in ("key", "n"))
+    bucket = key & ((1 << BUCKET_BITS) - 1)
+    return languages, Model(bucket, key >> BUCKET_BITS, n, len(languages)), -math.log(max(len(np.unique(bucket)), 2))
+
+
+def score(rows: DataFrame, held: Model) -> DataFrame:
     """rows with, in place of text, t (log-likelihoods by language, scaled), p (their posteriors, all 0 without trigrams),
     n (trigrams) and mean (the best language's log-likelihood of a trigram)."""
-    model = rows.sparkSession.sparkContext.broadcast(logs)
+    model = rows.sparkSession.sparkContext.broadcast(held)
     names = [c for c in rows.columns if c != "text"]
     fields = [rows.schema[c] for c in names]
 
     def scan(batches):
-        table = model.value
         for batch in batches:
             out = []
             for x in batch.column("text"):
-                total, k = np.zeros(table.shape[1]), 0
-                for g in trigrams(x.as_py()):
-                    total += table[g].sum(axis=0, dtype=np.float64)
-                    k += len(g)
+                total, k = model.value.total(x.as_py())
                 t = total * min(1.0, TEXT_WEIGHT / max(k, 1))
                 p = np.exp(t - t.max())
                 out.append((t.tolist(), (p / p.sum() * (k > 0)).tolist(), k, float(total.max() / max(k, 1))))
@@ -122,11 +138,11 @@ def score(rows: DataFrame, logs: np.ndarray) -> DataFrame:
 
 def identify(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """(id, h, text_lang, lang, posterior, kept) of rows (id, h, text, declared, suffix, host); h is a hash of the text."""
-    languages, logs, even = train(rows, "declared", "text", F.xxhash64("id", "h"))
+    languages, model, even = train(rows, "declared", "text", F.xxhash64("id", "h"))
     if not languages:
         null = F.lit(None).cast("string")
         return rows.select("id", "h", null.alias("text_lang"), null.alias("lang"), F.lit(0.0).alias("posterior"), F.lit(False).alias("kept"))
-    soft = materialize(score(rows, logs), "scores")
+    soft = materialize(score(rows, model), "scores")
     each = range(len(languages))
     read = (F.col("n") > 0).cast("double")
     count, sums = F.sum(read), [F.sum(F.col("p")[i]) for i in each]

@@ -89,3 +89,35 @@ def test_pages(spark, sf):
     got = langid.query_pages(spark, sf).collect()
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     assert sum(r.kept for r in got) > 0.95 * len(got)
+
+
+GREEK = "και το να του η της με που την από για είναι στο οι τον στην μια τα θα δεν σε τους".split()
+
+
+def test_rare_languages_are_learned(rows):
+    """Under a thousandth of the labelled rows, in a script of its own."""
+    rng = random.Random(9)
+    data = [(text(lang, 12, rng), lang, None, "h") for _ in range(2100) for lang in ("en", "de")]
+    data += [(" ".join(rng.choices(GREEK, k=40)), "el", None, "h") for _ in range(langid.MIN_LABELS)]
+    got = sorted(langid.identify(rows(data)).collect(), key=lambda r: r.id)
+    assert all(r.lang == "el" and r.text_lang == "el" and r.kept for r in got[4200:])
+    assert sum(r.lang == d[1] for r, d in zip(got, data)) > 0.97 * len(data)
+
+
+def test_model_matches_a_dense_table():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    buckets, languages = rng.integers(0, 1 << langid.BUCKET_BITS, 4000), rng.integers(0, 5, 4000)
+    known = [int(x) for g in langid.trigrams("some words that stand here") for x in g]
+    pairs = sorted({*zip(buckets.tolist(), languages.tolist()), *((b, 2) for b in known)})
+    counts = rng.integers(1, 50, len(pairs))
+    table = np.zeros((1 << langid.BUCKET_BITS, 5))
+    for (b, lang), n in zip(pairs, counts):
+        table[b, lang] = n
+    logs = np.log((table + langid.ALPHA) / (table.sum(axis=0) + langid.ALPHA * (1 << langid.BUCKET_BITS)))
+    model = langid.Model(np.array([b for b, _ in pairs]), np.array([x for _, x in pairs]), counts, 5)
+    for t in ("some words that stand here", "other words, words of no kind", "", None):
+        total, k = model.total(t)
+        g = [int(x) for g in langid.trigrams(t) for x in g]
+        assert k == len(g) and total == pytest.approx(logs[g].sum(axis=0), rel=1e-5)
