@@ -80,3 +80,22 @@ def test_empty_and_redaction(docs):
     got = secrets.redact(df, secrets.rank_path())
     assert got.columns == df.columns
     assert {r.doc_id: r.text for r in got.collect()} == {1: "a [secret] b [secret] c", 2: None, 3: "clean"}
+
+
+def test_random_letters_and_long_words():
+    """Letters alone, and letters before some digits, are random or not by their tokens."""
+    import random
+    import string
+
+    rng = random.Random(3)
+    encoding = secrets.vocabulary(secrets.rank_path())
+
+    def hits(runs):
+        return sum(bool(secrets.random_spans(f"x {r} y", encoding, [])) for r in runs)
+
+    for letters in (string.ascii_lowercase, string.ascii_letters):
+        for n in (20, 24, 40):
+            assert hits("".join(rng.choices(letters, k=n)) for _ in range(200)) >= 190
+            assert hits("".join(rng.choices(letters, k=n)) + str(rng.randrange(10**4)) for _ in range(200)) >= 190
+    words = "Donaudampfschifffahrtsgesellschaft Rechtsschutzversicherungsgesellschaften anticonstitutionnellement Geschwindigkeitsbegrenzung AbstractSingletonProxyFactoryBean getElementsByClassNameOrTagName"
+    assert hits([*words.split(), *(w + "12" for w in words.split()), "/home/users/bin/etc/usr", "a/b/c/readable/words/in/a", "MODEL-ABCDEF-GHIJ-KLMNO"]) == 0
