@@ -9,10 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound, in rows of a few narrow columns, for what may be broadcast.
-BROADCAST_ROWS = 400_000
-#: Upper bound, in the same terms, for what one task handles rather than a shuffle.
-TASK_ROWS = 2_000_000
+#: Upper bounds for what may be broadcast: rows, and bytes of the table's files.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 8 << 20
+#: The same for what one task reads, so that loops over small tables don't deal out crumbs.
+TASK_ROWS, TASK_BYTES = 100_000, 1 << 20
 _FOLDERS: set[str] = set()
 
 
@@ -53,20 +53,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it: cuts the lineage, and survives lost executors."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most so many rows, else df as it is (then Spark shuffles, and splits skewed keys).
+def release(*tables: DataFrame | None) -> None:
+    """Remove materialized tables that no plan will read any more."""
+    for df in tables:
+        if df is not None:
+            delete(df.sparkSession, df._scratch_path)
 
-    Meant for materialized tables of a few narrow columns; counting those reads their footers only.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
+
+def planned_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of df's size; for a materialized table, its columns' part of the files' bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def compact(df: DataFrame, rows: int = TASK_ROWS) -> DataFrame:
-    """df in one partition if it has at most so many rows, so that joins and groups of small tables need no shuffle.
+def narrow(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df marked for broadcast if it is within so many rows and BROADCAST_BYTES, else df as it is (then Spark shuffles, and
+    splits skewed keys).
 
-    Larger ones stay as they are. Meant for materialized tables of a few narrow columns, as narrow is.
+    Meant for materialized tables: their size is that of their files, and counting rows reads their footers only.
     """
-    return df.coalesce(1) if df.count() <= rows else df
+    return F.broadcast(df) if planned_bytes(df) <= BROADCAST_BYTES and df.count() <= rows else df
+
+
+def gathered(df: DataFrame) -> DataFrame:
+    """df in one partition if it is within TASK_ROWS and TASK_BYTES, else as it is. Meant for materialized tables."""
+    return df.coalesce(1) if planned_bytes(df) <= TASK_BYTES and df.count() <= TASK_ROWS else df
