@@ -2,6 +2,7 @@
 
 ``connected_components`` alternates large-star and small-star over an edge table until it stays as it is. Minima are
 summed up before the shuffle; a node with very many neighbours is joined by Spark's skewed-join handling.
+``merged_components`` adds links to components that are known, by their least members alone.
 
 ``bucket_components`` gets buckets (key, id) whose members may be linked and a function that verifies pairs. It finds the
 components of all links inside buckets without making all pairs of a bucket: links between members that are connected
@@ -20,10 +21,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import compact, materialize, narrow
+from .common import gathered, materialize, narrow, release
 
 STAR_ROUNDS = 2
 #: Members, and bytes of payloads, of a block.
@@ -53,30 +54,50 @@ def _sign(edges: DataFrame) -> tuple:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b). (id, component) of all ids in links; component is the least id reachable."""
-    edges = compact(materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges"))
+    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
     last = None
     while (now := _sign(edges)) != last:
-        last = now
-        edges = compact(materialize(small_star(large_star(edges)), "edges"))
+        last, before = now, edges
+        edges = materialize(small_star(large_star(gathered(edges))), "edges")
+        release(before)
+    edges = gathered(edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def _with_component(members: DataFrame, components: DataFrame) -> DataFrame:
+def merged_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(id, component) after links (a, b) join known components; links and known are materialized."""
+    if known is None:
+        return connected_components(links)
+    links, known = gathered(links), gathered(known)
+    held = narrow(known)
+    told = links.join(held.select(F.col("id").alias("a"), F.col("component").alias("p")), "a", "left").join(held.select(F.col("id").alias("b"), F.col("component").alias("q")), "b", "left")
+    told = gathered(materialize(told.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")), "roots"))
+    roots = materialize(connected_components(told.select(F.col("p").alias("a"), F.col("q").alias("b"))), "joined")
+    ends = told.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("p").alias("root")), F.struct(F.col("b").alias("id"), F.col("q").alias("root")))).alias("e")).select("e.*")
+    # A link's ends come with one root whatever link names them, so equal rows are the same id.
+    ids = known.select("id", F.col("component").alias("root")).unionByName(ends).distinct()
+    now = narrow(roots.select(F.col("id").alias("root"), "component"))
+    return ids.join(now, "root", "left").select("id", F.coalesce("component", "root").alias("component"))
+
+
+def _with_component(members: DataFrame, components: DataFrame | None) -> DataFrame:
     """members (id, ...) with comp; an id without links is its own component."""
-    return members.join(components, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    if components is None:
+        return members.withColumn("comp", F.col("id"))
+    return members.join(narrow(components), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
 
 
 def _open_buckets(members: DataFrame) -> DataFrame:
-    """Members of buckets that have several components, with main: the component that most members are in."""
+    """Members of buckets that have several components, with main, the component that most members are in, and bucket_size."""
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    several = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("size"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")).filter("comps > 1")
+    several = sizes.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("bucket_size"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main")).filter("comps > 1")
     return members.join(several.drop("comps"), "key")
 
 
 def _blocks(members: DataFrame, match: Callable) -> DataFrame:
     """Pairs (a, b) of different components of a bucket that match finds. members has payload, bytes."""
     sizes = members.groupBy("key").agg(F.sum(F.length("payload")).alias("bytes"))
-    n = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    n = F.greatest(F.ceil(F.col("bucket_size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     side = F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.lit(1))
     base = members.join(sizes, "key").withColumn("n", n).withColumn("side", side)
     base = base.select("key", "id", "comp", "payload", "side", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
@@ -101,35 +122,54 @@ def _blocks(members: DataFrame, match: Callable) -> DataFrame:
     return rows.unionByName(cols).groupBy("key", "r", "c").applyInArrow(compare, "a long, b long").distinct()
 
 
-def bucket_components(buckets: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], match: Callable, exact_match: bool, rounds: int = STAR_ROUNDS) -> DataFrame:
-    """(id, component) of ids with links. buckets: (key, id).
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets (key, id, ...) whose key several rows have. Only keys and counts are shuffled, unless the keys
+    that are shared are too many to be broadcast."""
+    held = narrow(materialize(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "held"))
+    return buckets.join(held, "key", "left_semi")
+
+
+def bucket_components(members: DataFrame, payloads: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame], match: Callable, exact_match: bool, possible: Callable[[Column, Column], Column] | None = None, rounds: int = STAR_ROUNDS) -> DataFrame:
+    """(id, component) of ids with links; materialized. members: materialized distinct (key, id) of shared buckets, with
+    further columns that possible reads.
 
-    verify takes materialized pairs (a, b), a < b, and returns those linked. payloads takes (id) and returns (id, payload), in bytes;
-    match takes payloads of some and of others, a matrix of the pairs that matter, and the bucket's key, and returns the
-    indices of pairs: those linked if exact_match, else all that may be, for verify to decide. It may leave out a pair in
-    all but one of the buckets that both are in.
+    possible gets two members as structs and says whether they may be linked. verify takes materialized pairs (a, b),
+    a < b, and returns those linked. payloads takes (id) and returns (id, payload), in bytes; match takes payloads of some
+    and of others, a matrix of the pairs that matter, and the bucket's key, and returns the indices of pairs: those linked
+    if exact_match, else all that may be, for verify to decide. It may leave out a pair in all but one of the buckets that
+    both are in.
     """
-    held = narrow(materialize(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "held"))
-    members = compact(materialize(buckets.join(held, "key"), "members"))
     # The hub is the member that meets most others; in a group of near copies that is the one closest to all.
-    met = members.groupBy("id").agg(F.sum("n").alias("met"))
-    members = members.drop("n")
-    links, components = None, buckets.sparkSession.createDataFrame([], "id long, component long")
+    members = gathered(members)
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    met = materialize(members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("met")), "met")
+    more = [c for c in members.columns if c != "key"]
+    components = None
     for i in range(rounds + 1):
-        now = compact(materialize(_open_buckets(_with_component(members, components)), "open-members"))
-        if now.isEmpty():
+        held = materialize(_open_buckets(_with_component(members, components)), "open-members")
+        if held.isEmpty():
+            release(held)
             break
+        now = gathered(held)
         if i < rounds:
             rank = F.struct("met", -F.col("id")) if i == 0 else F.struct(F.xxhash64("id", F.lit(i)))
-            main = now.filter("comp = main") if i else now
-            chosen = (main if i else main.join(met, "id")).groupBy("key").agg(F.max_by("id", rank).alias("pivot"), F.max_by("comp", rank).alias("pivot_comp"))
-            pairs = now.join(chosen, "key").filter("comp <> pivot_comp").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-            found = verify(compact(materialize(pairs.distinct(), "pairs")))
+            pivots = now.filter("comp = main") if i else now.join(narrow(met), "id")
+            chosen = pivots.groupBy("key").agg(F.max_by(F.struct(*more, "comp"), rank).alias("pivot"))
+            pairs = now.join(chosen, "key").filter("comp <> pivot.comp")
+            if possible is not None:
+                pairs = pairs.filter(possible(F.struct(*more), F.col("pivot")))
+            pairs = materialize(pairs.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct(), "pairs")
+            found = verify(gathered(pairs))
         else:
             asked = materialize(now.select("id").distinct(), "asked")
+            pairs = None
             found = _blocks(now.join(payloads(asked), "id"), match)
-            found = found if exact_match else verify(compact(materialize(found, "pairs")))
-        found = compact(materialize(found.select("a", "b"), "links"))
-        links = found if links is None else links.unionByName(found)
-        components = compact(materialize(connected_components(links), "components"))
-    return components
+            if not exact_match:
+                pairs = materialize(found, "pairs")
+                found = verify(gathered(pairs))
+        found = materialize(found.select("a", "b"), "links")
+        release(held, pairs)
+        last, components = components, materialize(merged_components(components, found), "components")
+        release(last, found)
+    release(met)
+    return components if components is not None else members.sparkSession.createDataFrame([], "id long, component long")

@@ -8,7 +8,7 @@ twice or more make the filter of repeated cells, kept as 64-bit words; words wit
 Pass 2 tests every row: a row with a cell that nobody else hit is surely unique and passes straight through. Only the
 other rows are grouped by their SHA-256, again summed up before the shuffle.
 
-The filter is broadcast if its number of words is within ``common.BROADCAST_ROWS``, else joined by word.
+The filter is broadcast if ``common.narrow`` allows it, else joined by word.
 
 Cases: null ids sort after all others, so a null id is kept only in a group without any other; of rows with the same
 text and id one stays; an empty table gives an empty result; other columns, whatever their names, aren't touched.

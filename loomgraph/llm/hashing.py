@@ -45,10 +45,14 @@ def sequences(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def runs(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs without ASCII white space in bytes that end with white space."""
+    edges = np.diff(SPACE[a].view(np.int8), prepend=np.int8(1))
+    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+
+
 def words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts) of the runs without ASCII white space in data, which has to end with white space."""
     a = np.frombuffer(data, np.uint8)
-    space = SPACE[a]
-    edges = np.diff(space.view(np.int8), prepend=np.int8(1))
-    starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+    starts, ends = runs(a)
     return sequences(a.astype(np.uint64) + np.uint64(1), starts, ends, BASE), starts

@@ -13,9 +13,11 @@ is at least ``percent`` / 100, confirmed on the full sets.
    texts of the candidates alone.
 
 Cases: a null text, or one without words, has an empty set, is linked with nothing and kept; fewer words than ``width``
-make one shingle; ids are meant to be unique, and of rows that share one each has the
-component of its own text's class; rows without an id take the component of their class, or null and
-kept if the class has no id; an empty table gives an empty result; other columns aren't touched.
+make one shingle; a text of any length is used whole, hashed in pieces; ids are meant to be unique, and of rows that share
+one each has the component of its own text's class, as links are between rows, not ids; so rows that repeat have the same
+component, and all of them are kept if its id is theirs; rows without an id take the component of their class, or null and
+kept if the class has no id; similarity of exactly ``percent`` links; an empty table gives an empty result; other columns
+aren't touched.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, compact, in_batches, materialize, narrow
-from .components import bucket_components
+from .common import gathered, in_batches, materialize, narrow, release
+from .components import bucket_components, shared_buckets
 from .hashing import SEQUENCE_BASE, mix, sequences, words
 
 BANDS, ROWS = 32, 5
@@ -111,7 +113,7 @@ def band_keys(sig: np.ndarray) -> list[int]:
 
 
 def signed_sets(documents: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest, payload, keys), a row for each row of documents; the last three are null for the empty set.
+    """(doc_id, h, n_shingles, digest, payload, keys), a row for each row of documents; the last three are null for the empty set.
 
     payload is the number of shingles and a byte of each minimum.
     """
@@ -119,7 +121,7 @@ def signed_sets(documents: DataFrame, width: int, id_col: str, text_col: str) ->
     def scan(batches):
         for batch in batches:
             rows = []
-            for s in (s for texts in pieces(batch.column(1)) for s in shingle_sets(texts, width)):
+            for s in (s for texts in pieces(batch.column(2)) for s in shingle_sets(texts, width)):
                 if not len(s):
                     rows.append((0, None, None, None))
                     continue
@@ -127,10 +129,13 @@ def signed_sets(documents: DataFrame, width: int, id_col: str, text_col: str) ->
                 rows.append((len(s), xxhash.xxh3_128_digest(s), len(s).to_bytes(8, "little") + sig.astype(np.uint8).tobytes(), band_keys(sig)))
             cols = zip(*rows) if rows else [()] * 4
             types = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "n_shingles", "digest", "payload", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types))], ["doc_id", "h", "n_shingles", "digest", "payload", "keys"])
 
-    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return in_batches(rows).mapInArrow(scan, "doc_id long, n_shingles long, digest binary, payload binary, keys array<long>")
+    return in_batches(_keyed(documents, id_col, text_col)).mapInArrow(scan, "doc_id long, h long, n_shingles long, digest binary, payload binary, keys array<long>")
+
+
+def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
 
 HEAD = 8 + PERMS
@@ -182,8 +187,8 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def verifier(texts: DataFrame, payloads: DataFrame, width: int, percent: int) -> Callable[[DataFrame], DataFrame]:
-    """A function that keeps the linked ones of pairs (a, b). texts: (id, text), payloads: (id, payload)."""
+def verifier(texts: Callable[[DataFrame], DataFrame], payloads: DataFrame, width: int, percent: int) -> Callable[[DataFrame], DataFrame]:
+    """A function that keeps the linked ones of pairs (a, b). texts gives (id, text) of ids, payloads: (id, payload)."""
 
     least = int(PERMS * MIN_SHARE * percent / 80)
 
@@ -208,34 +213,43 @@ def verifier(texts: DataFrame, payloads: DataFrame, width: int, percent: int) ->
 
     def verify(pairs: DataFrame) -> DataFrame:
         asked = narrow(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked"))
-        heads = compact(materialize(payloads.join(asked, "id", "left_semi"), "heads"), BROADCAST_ROWS)
+        held = materialize(payloads.join(asked, "id", "left_semi"), "heads")
+        heads = gathered(held)
         with_payload = pairs.join(heads.select(F.col("id").alias("a"), F.col("payload").alias("p")), "a").join(heads.select(F.col("id").alias("b"), F.col("payload").alias("q")), "b")
-        near = compact(materialize(in_batches(with_payload.select("a", "b", "p", "q")).mapInArrow(rough, "a long, b long").distinct(), "near"))
-        wanted = narrow(materialize(near.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted"))
-        mine = materialize(texts.join(wanted, "id", "left_semi"), "texts")
+        near = gathered(materialize(in_batches(with_payload.select("a", "b", "p", "q")).mapInArrow(rough, "a long, b long"), "near"))
+        release(held)
+        mine = materialize(texts(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
         both = near.join(mine.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
         return in_batches(both.select("a", "b", "x", "y")).mapInArrow(full, "a long, b long")
 
     return verify
 
 
-def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of documents."""
-    base = materialize(signed_sets(documents, width, id_col, text_col), "sets")
-    reps = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of documents, and h, the hash of the text, if asked for."""
+    base = materialize(signed_sets(documents, width, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "sets")
+    there = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL")
+    # A class is known by its first row, so that rows that share an id stay apart.
+    reps = materialize(there.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("size")).select("digest", "size", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("id")), "reps")
     # Copies are left out; what stays is a row a class.
-    reps = materialize(reps, "reps")
-    copies = base.select("digest", "doc_id").join(narrow(materialize(reps.filter("size > 1"), "repeated")), "digest").filter("doc_id <> rep").select("digest", "doc_id").distinct()
-    signed = base.filter("digest IS NOT NULL AND doc_id IS NOT NULL").join(narrow(materialize(copies, "copies")), ["digest", "doc_id"], "left_anti").withColumnRenamed("doc_id", "id")
-    payloads = signed.select("id", "payload")
-    buckets = materialize(signed.select(F.explode("keys").alias("key"), "id"), "buckets")
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    repeated = reps.filter("size > 1").select("digest", "id")
+    copies = there.select("digest", "row").join(narrow(materialize(repeated, "repeated")), "digest").filter("row <> id").select("row")
+    signed = there.join(narrow(materialize(copies, "copies")), "row", "left_anti").withColumnRenamed("row", "id")
+    members = materialize(shared_buckets(signed.select(F.explode("keys").alias("key"), "id")), "members")
+    keyed = _keyed(documents, id_col, text_col)
+    several = not there.groupBy("doc_id", "h").count().filter("count > 1").isEmpty()
+
+    def texts(asked: DataFrame) -> DataFrame:
+        """(id, text) of the asked ids, each once."""
+        wanted = signed.select("id", F.col("doc_id").alias("__d"), F.col("h").alias("__h")).join(narrow(materialize(asked, "wanted")), "id", "left_semi")
+        wanted = narrow(materialize(wanted, "wanted-texts"))
+        found = keyed.join(wanted, (F.col("doc_id") == F.col("__d")) & (F.col("h") == F.col("__h"))).select("id", "text")
+        return found.dropDuplicates(["id"]) if several else found
 
     def whole(asked: DataFrame) -> DataFrame:
         """Payload, band keys and text of the asked ids."""
-        asked = narrow(asked)
-        heads = signed.join(asked, "id", "left_semi").select("id", "payload", "keys")
-        both = heads.join(texts.join(asked, "id", "left_semi"), "id").select("id", "payload", "keys", "text")
+        heads = signed.join(narrow(asked), "id", "left_semi").select("id", "payload", "keys")
+        both = heads.join(texts(asked), "id").select("id", "payload", "keys", "text")
 
         def glue(batches):
             for batch in batches:
@@ -244,20 +258,23 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
 
         return in_batches(both).mapInArrow(glue, "id long, payload binary")
 
-    found = bucket_components(buckets, whole, verifier(texts, payloads, width, percent), matcher(width, percent), exact_match=True)
-    # Classes of one document without a link need no join back.
-    known = reps.join(found, reps.rep == found.id, "left").select("digest", F.coalesce("component", "rep").alias("component"), "rep", "size").filter("size > 1 OR component <> rep")
+    found = bucket_components(members, whole, verifier(texts, signed.select("id", "payload"), width, percent), matcher(width, percent), exact_match=True)
+    # Components are known by a row so far; they get the least id. Classes of one row without a link need no join back.
+    told = materialize(reps.join(narrow(found), "id").select("digest", "rep", "component"), "told")
+    least = told.groupBy("component").agg(F.min("rep").alias("least"))
+    told = told.join(narrow(materialize(least, "least")), "component").select(F.col("digest").alias("__digest"), "least")
+    known = reps.join(narrow(materialize(told, "linked")), F.col("digest") == F.col("__digest"), "left").select("digest", F.coalesce("least", "rep").alias("component"), "rep", "size").filter("size > 1 OR component <> rep")
     known = narrow(materialize(known.select("digest", "component"), "known"))
-    out = base.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
+    out = base.select("doc_id", "h", "n_shingles", "digest").join(known, "digest", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return out.select("doc_id", *["h"] * with_hash, "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def drop_near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, all columns; ids are taken to be unique."""
-    gone = near_duplicates(documents, width, percent, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias("__gone"))
+    """One document of each component, all columns. Of rows that share an id, each goes or stays by its own text."""
+    gone = near_duplicates(documents, width, percent, id_col, text_col, with_hash=True).filter("NOT kept").select(F.col("doc_id").alias("__gone"), F.col("h").alias("__h")).distinct()
     gone = narrow(materialize(gone, "gone"))
-    return documents.join(gone, documents[id_col] == gone["__gone"], "left_anti")
+    return documents.join(gone, documents[id_col].cast("long").eqNullSafe(gone["__gone"]) & (F.xxhash64(documents[text_col]) == gone["__h"]), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

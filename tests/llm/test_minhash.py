@@ -116,3 +116,22 @@ def test_minima_estimate_similarity():
 def test_connected_components(spark, edges, want):
     got = components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r.id: r.component for r in got} == want and len(got) == len(want)
+
+
+def test_one_id_with_two_texts(docs):
+    """Rows that share an id stay apart: each is linked by its own text, and goes or stays by it."""
+    a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    rows = [(1, a), (1, b), (0, b), (0, b), (2, a + " more")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs(rows)).collect())
+    assert got == [(0, 0, True), (0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False)]
+    left = sorted((r.doc_id, r.text) for r in minhash.drop_near_duplicates(docs(rows)).collect())
+    assert left == [(0, b), (0, b), (1, a)]
+
+
+def test_very_long_texts(docs):
+    """A text of 300,000 words is used whole: one that differs in a fiftieth of its words is linked, one that differs in a tenth isn't."""
+    words = [f"w{i}" for i in range(300_000)]
+    near = [w if i % 50 else "x" + w for i, w in enumerate(words)]
+    far = [w if i % 10 else "y" + w for i, w in enumerate(words)]
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(docs([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])).collect()}
+    assert got == {1: (1, 299_996), 2: (1, 299_996), 3: (3, 299_996)}
