@@ -38,36 +38,70 @@ def test_hosts_paths_and_rules(spark, pages):
         assert verdict is None or got[i].verdict == verdict
 
 
-def brute(seeds, edges, damping=urls.DAMPING, rounds=urls.ROUNDS):
+def brute(seeds, edges, damping=urls.DAMPING):
+    edges = [e for e in edges if e[0] != e[1]]
     nodes = set(seeds) | {x for e in edges for x in e[:2]}
 
     def walk(seed, steps):
         out = {}
         for s, t, n in steps:
             out[s] = out.get(s, 0) + n
-        steps = [(s, t, n / out[s]) for s, t, n in steps] + [(x, x, 1.0) for x in nodes if x not in out]
-        score = {x: seed.get(x, 0.0) for x in nodes}
-        for _ in range(rounds):
+        score = dict.fromkeys(nodes, 0.0)
+        for _ in range(300):
             moved = dict.fromkeys(nodes, 0.0)
-            for s, t, p in steps:
-                moved[t] += score[s] * p
+            for s, t, n in steps:
+                moved[t] += score[s] * n / out[s]
             score = {x: (1 - damping) * seed.get(x, 0.0) + damping * moved[x] for x in nodes}
         return score
 
-    trust = walk({h: s[0] for h, s in seeds.items()}, edges)
-    distrust = walk({h: s[1] for h, s in seeds.items()}, [(t, s, n) for s, t, n in edges])
+    def part(index, steps):
+        score, base = walk({h: s[index] for h, s in seeds.items()}, steps), walk(dict.fromkeys(nodes, 1.0), steps)
+        own = {h: base[h] - (0 if sum(seeds.get(h, (0, 0))) else 1 - damping) for h in nodes}
+        return {h: score[h] / own[h] if own[h] > 1e-9 else 0.0 for h in nodes}
+
+    trust, distrust = part(0, edges), part(1, [(t, s, n) for s, t, n in edges])
     return {h: (trust[h], distrust[h]) for h in nodes}
 
 
+def spread(spark, seeds, edges):
+    s = spark.createDataFrame([(h, *map(float, v)) for h, v in seeds.items()], "host string, trusted double, blocked double")
+    e = spark.createDataFrame(edges, "source string, target string, links long")
+    return {r.host: (r.trust, r.distrust) for r in urls.spread(s, e).collect()}
+
+
 def test_scores_match_brute_force(spark):
     seeds = {"good": (1.0, 0.0), "bad": (0.0, 1.0), "mid": (0.3, 0.2), "alone": (0.0, 0.5)}
     edges = [("good", "mid", 3), ("good", "far", 1), ("mid", "bad", 2), ("mid", "mid", 5), ("linker", "bad", 9), ("far", "good", 1)]
-    s = spark.createDataFrame([(h, *v) for h, v in seeds.items()], "host string, trusted double, blocked double")
-    got = urls.spread(s, spark.createDataFrame(edges, "source string, target string, links long")).collect()
-    want = brute(seeds, edges)
-    assert {r.host for r in got} == set(want)
-    for r in got:
-        assert (r.trust, r.distrust) == pytest.approx(want[r.host], abs=1e-12)
+    # A chain of 40 hosts and a ring, longer than any fixed number of rounds that would do for the rest.
+    edges += [(f"c{i}", f"c{i + 1}", 1) for i in range(40)] + [("c40", "bad", 1)] + [(f"r{i}", f"r{(i + 1) % 12}", 1) for i in range(12)] + [("good", "r0", 1)]
+    got, want = spread(spark, seeds, edges), brute(seeds, edges)
+    assert set(got) == set(want)
+    for h in want:
+        assert got[h] == pytest.approx(want[h], abs=2e-3), h
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 60])
+def test_a_farm_is_as_suspect_as_one_linker(spark, n):
+    """Distrust doesn't shrink with the number of hosts that share it, and one bad link among many isn't enough."""
+    edges = [(f"farm{i}", "bad", 1 + i) for i in range(n)] + [("list", f"site{i}", 1) for i in range(50)] + [("list", "bad", 1)]
+    got = spread(spark, {"bad": (0, 1)}, edges)
+    assert all(got[f"farm{i}"][1] == pytest.approx(1.0) for i in range(n))
+    assert got["list"][1] < 0.1 and got["site1"] == (0.0, 0.0)
+
+
+def test_ties_are_allowed(pages):
+    """A host that links to a blocked and is linked from an allowed host, alike."""
+    rows = [page(1, "http://a.org/fr/", "http://mid.info/"), page(2, "http://spam.net/"), page(3, "http://mid.info/", "http://spam.net/")]
+    got = {r.page_id: r for r in urls.judged(pages(rows)).collect()}
+    assert got[3].trust == got[3].distrust == 1.0 and got[3].verdict == "allow"
+
+
+def test_unclosed_markup_takes_linear_time(spark, pages):
+    import time
+
+    began = time.time()
+    df = pages([(1, "http://a.net/", "<a " * 600_000), (2, "http://b.net/", "<a href=" * 200_000 + "x>"), (3, "http://c.net/", "<a hrefhref " + " href" * 200_000)])
+    assert {r.page_id for r in urls.judged(df).collect()} == {1, 2, 3} and time.time() - began < 60
 
 
 def test_links_and_thresholds(spark, pages):
