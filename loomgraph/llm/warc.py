@@ -11,8 +11,9 @@ files of any Hadoop file system are complete or absent, whatever tasks are lost.
 
 Cases: a null html is an empty payload and gives empty text and no links; a null url gives records without a target
 address; a payload that isn't UTF-8 is decoded with replacements; HTML without end tags, or with comments and scripts
-left open, is taken up to the end; rows that repeat give records that repeat; an empty table gives none; other columns
-aren't read.
+left open, is taken up to the end; a page of any length is read whole, in time that is in proportion to it, whatever is
+left open in it; a null page_id counts as an id of its own; rows that repeat give records that repeat, with the same record
+ids; an empty table gives none; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ LINES = re.compile(r" ?\n[ \n]*")
 TITLE = re.compile(r"<title[^>]*>(.*?)(?:</title|\Z)", re.I | re.S)
 META = re.compile(r"<meta\b[^>]*>", re.I)
 LINK = re.compile(r"<(a|link|img|iframe|area)\b([^>]*)>", re.I)
-ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+#: Starts at a name's first letter and gives none back, so that a long run of letters is read once.
+ATTRIBUTE = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++)""")
 
 
 def digest(data: bytes) -> str:
@@ -55,10 +57,20 @@ def record_id(*parts: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(parts))}>"
 
 
+def shown(page: str) -> tuple[str, str]:
+    """What isn't hidden, up to the last > and after it.
+
+    In the first part, each tag that begins ends, so patterns read it once; in the second there is none.
+    """
+    text = HIDDEN.sub(" ", page)
+    at = text.rfind(">") + 1
+    return text[:at], text[at:]
+
+
 def plain_text(page: str) -> str:
     """The page's text: blocks on lines of their own, white space within a line as one space."""
-    text = HIDDEN.sub(" ", page)
-    text = BLANKS.sub(" ", TAG.sub("", BREAK.sub("\n", text.replace("\n", " "))))
+    tagged, rest = (x.replace("\n", " ") for x in shown(page))
+    text = BLANKS.sub(" ", TAG.sub(lambda m: "\n" if BREAK.match(m[0]) else "", tagged) + rest)
     if "&" in text:
         text = BLANKS.sub(" ", entities.unescape(text))
     return LINES.sub("\n", text).strip()
@@ -70,11 +82,13 @@ def attributes(tag: str) -> dict[str, str]:
 
 def page_facts(page: str, url: str | None) -> dict:
     """Title, metas, canonical address and links of a page."""
-    shown = HIDDEN.sub(" ", page)
-    title = TITLE.search(shown)
-    metas = [a for a in map(attributes, META.findall(shown)) if a]
+    tagged, rest = shown(page)
+    title = TITLE.search(tagged)
+    if title and title.end() == len(tagged) and not title[0].lower().endswith("</title"):
+        title = TITLE.search(tagged[title.start() :] + rest)
+    metas = [a for a in map(attributes, META.findall(tagged)) if a]
     base, links, canonical = url or "", [], None
-    for tag, rest in LINK.findall(shown):
+    for tag, rest in LINK.findall(tagged):
         a = attributes(rest)
         to = a.get("href") or a.get("src")
         if to:

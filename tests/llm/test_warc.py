@@ -1,4 +1,7 @@
+import base64
 import gzip
+import hashlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -78,3 +81,68 @@ def test_responses_from_files(spark, tmp_path):
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.derivatives(warc.responses(none), "page_id").count() == 0
+
+
+class Reader(HTMLParser):
+    """Text of well-formed pages, apart from the operator's own code."""
+
+    BLOCKS = set("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer nav aside main blockquote pre hr dd dt dl form title head body html".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.links, self.hidden = [], [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+        if tag in ("a", "link", "img", "iframe", "area"):
+            to = dict(attrs).get("href") or dict(attrs).get("src")
+            if to:
+                self.links.append(to)
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+        if tag in self.BLOCKS:
+            self.out.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.out.append(data.replace("\n", " "))
+
+    def text(self):
+        lines = (" ".join(x.replace("\xa0", " ").split(" ")).split() for x in "".join(self.out).split("\n"))
+        return "\n".join(" ".join(x) for x in lines if x)
+
+
+def test_query_matches_an_independent_reader(spark, sf):
+    """Every page of the table: both records, their links, texts and digests, by Python's own HTML parser and hashes."""
+    rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    got = warc.query(spark, sf).collect()
+    assert len(got) == 2 * len(rows) and sorted(r.page_id for r in got) == sorted([*rows, *rows])
+    for r in got:
+        html = rows[r.page_id].html or ""
+        reader = Reader()
+        reader.feed(html)
+        sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+        assert r.source_payload_digest == sha1(html.encode()) and r.target_uri == rows[r.page_id].url and r.n_links == len(reader.links)
+        if r.record_type == "conversion":
+            assert (r.block_digest, r.content_length) == (sha1(reader.text().encode()), len(reader.text().encode()))
+    assert {r.refers_to for r in got if r.record_type == "metadata"} == {r.refers_to for r in got if r.record_type == "conversion"}
+
+
+def test_unclosed_markup_takes_linear_time():
+    import time
+
+    began = time.time()
+    for page in ("<a " * 400_000, "<p " * 400_000, "<x " * 300_000 + "<p>", "<meta " * 200_000, "<title" * 200_000, "<!--" * 300_000, "<script" * 200_000, "<a " + "a" * 2_000_000 + ">", "<a " + "b " * 700_000 + ">", "<a x='" * 200_000 + ">", "</script " * 200_000, "<" * 1_500_000):
+        warc.plain_text(page)
+        warc.page_facts(page, "http://x.org/")
+    assert time.time() - began < 30
+    assert warc.plain_text("a<p>b <c") == "a\nb <c" and warc.page_facts("<title>open <b", None)["title"] == "open <b"
+
+
+def test_null_ids_and_repeated_rows(spark):
+    rows = [(None, None, None), (None, None, None), (7, "http://a/", "<p>x"), (7, "http://a/", "<p>x")]
+    got = warc.derivatives(warc.responses(spark.createDataFrame(rows, "page_id long, url string, html string")), "page_id").collect()
+    assert len(got) == 8 and len({r.record_id for r in got}) == 4
