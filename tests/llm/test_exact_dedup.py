@@ -41,16 +41,44 @@ def test_drop_keeps_all_columns(docs):
     assert sorted((r.doc_id for r in got.collect()), key=str) == sorted([1, 3, 5, 7, 8, 10, None], key=str)
 
 
-def test_filter_has_no_false_negatives(spark, docs):
+def flagged(df, words):
+    keys = df.select("doc_id", exact_dedup.cell(exact_dedup.text_digest(df.text), words).alias("cell"))
+    return exact_dedup.with_flag(keys, "cell", *exact_dedup.repeated_cells(keys.select("cell"), words), "maybe").collect()
+
+
+def test_filter_has_no_false_negatives(docs, monkeypatch):
     df = docs([(i, f"t{i % 700}") for i in range(1000)])
-    keys = df.select("doc_id", exact_dedup.text_digest(df.text).alias("digest"))
-    cells = 1 << 6  # far too few, so nearly all rows are possible repeats
-    tested = exact_dedup.with_flag(keys, "digest", exact_dedup.repeated_cells(keys, "digest", cells), cells, "maybe")
-    assert all(r.maybe for r in tested.collect() if r.doc_id < 300 or r.doc_id >= 700)
-    cells = exact_dedup.cell_count(1000)
-    tested = exact_dedup.with_flag(keys, "digest", exact_dedup.repeated_cells(keys, "digest", cells), cells, "maybe").collect()
-    assert all(r.maybe for r in tested if r.doc_id < 300 or r.doc_id >= 700)
-    assert sum(r.maybe for r in tested if 300 <= r.doc_id < 700) < 40
+    repeated = lambda i: i < 300 or i >= 700
+    for words, folded, most in ((exact_dedup.word_count(1000), 1 << 22, 40), (1 << 14, 16, 400), (1 << 14, 1, 400), (64, 1 << 22, 100)):
+        monkeypatch.setattr(exact_dedup, "FILTER_WORDS", folded)
+        got = flagged(df, words)
+        assert len(got) == 1000 and all(r.maybe for r in got if repeated(r.doc_id))
+        assert sum(r.maybe for r in got if not repeated(r.doc_id)) <= most, (words, folded)
+
+
+def test_result_is_the_same_with_a_folded_filter(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILTER_WORDS", 2)
+    test_groups_match_brute_force(docs)
+    test_drop_keeps_all_columns(docs)
+
+
+def test_sql_gives_the_same(spark, sf):
+    import duckdb
+
+    got = exact_dedup.query(spark, sf)
+    want = duckdb.connect().execute(exact_dedup.ORACLE.replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall()
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(want)
+
+
+def test_unique_rows_send_a_number_only(spark, sf):
+    """What is dealt by cell has the cell and its count; nothing else of a unique row is shuffled."""
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    plan = exact_dedup.exact_groups(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" in plan
+    text = exact_dedup.drop_exact_duplicates(documents)._jdf.queryExecution().executedPlan().toString()
+    unique = text[text.index("Union") :].split("\n:- ")[-1] if "\n:- " in text else text
+    assert "BroadcastHashJoin" in unique and "SortMergeJoin" not in text
 
 
 def test_plan_runs_no_python(spark, sf):
