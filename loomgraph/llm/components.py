@@ -20,15 +20,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, materialize, narrow, release
+from .common import gathered, in_batches, materialize, narrow, release
 
 STAR_ROUNDS = 2
 #: Members, and bytes of payloads, of a block.
 BLOCK, BLOCK_BYTES = 1024, 16_000_000
+#: Pairs that are compared at a time, if blocks are smaller than that.
+PAIRS = 1 << 19
 
 
 def _minima(edges: DataFrame) -> DataFrame:
@@ -95,7 +98,10 @@ def _open_buckets(members: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, match: Callable) -> DataFrame:
-    """Pairs (a, b) of different components of a bucket that match finds. members has payload, bytes."""
+    """Pairs (a, b) of different components of a bucket that match finds. members has payload, bytes.
+
+    A task gets many blocks, one after another, and compares small ones together.
+    """
     sizes = members.groupBy("key").agg(F.sum(F.length("payload")).alias("bytes"))
     n = F.greatest(F.ceil(F.col("bucket_size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     side = F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.lit(1))
@@ -106,20 +112,60 @@ def _blocks(members: DataFrame, match: Callable) -> DataFrame:
     used = base.filter("side = 1").groupBy("key").agg(F.collect_set("block").alias("used"))
     cols = base.join(used, "key").select("key", "id", "comp", "payload", F.explode("used").alias("r"), F.col("block").alias("c"), F.lit(1).alias("what"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        import numpy as np
-
-        ids, comps, what = (np.asarray(table.column(c)) for c in ("id", "comp", "what"))
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        """Of whole blocks, in which members that are one of some stand first."""
+        ids, comps, keys, what = (np.asarray(table.column(c)) for c in ("id", "comp", "key", "what"))
+        starts = _run_starts(table)
+        ends = np.append(starts[1:], len(ids))
+        some = np.add.reduceat(1 - what.astype(np.int64), starts)
+        all_ = ends - starts - some
         payload = table.column("payload").to_pylist()
-        left, right = np.flatnonzero(what == 0), np.flatnonzero(what == 1)
-        a = b = np.empty(0, np.int64)
-        if len(left) and len(right):
-            apart = comps[left][:, None] != comps[right][None, :]
-            i, j = match([payload[i] for i in left], [payload[j] for j in right], apart, table.column("key")[0].as_py())
-            a, b = ids[left][i], ids[right][j]
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
-
-    return rows.unionByName(cols).groupBy("key", "r", "c").applyInArrow(compare, "a long, b long").distinct()
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        upto = np.cumsum(some * all_)
+        since = 0
+        while since < len(starts):
+            until = max(since + 1, int(np.searchsorted(upto, (upto[since - 1] if since else 0) + PAIRS, "right")))
+            now = slice(since, until)
+            i = np.repeat(_counted(starts[now], some[now]), np.repeat(all_[now], some[now]))
+            j = _counted(np.repeat(starts[now] + some[now], some[now]), np.repeat(all_[now], some[now]))
+            apart = comps[i] != comps[j]
+            i, j = i[apart], j[apart]
+            kept = match(payload, i, j, keys[i])
+            a.append(ids[i[kept]]), b.append(ids[j[kept]])
+            since = until
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
+
+    def compare(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not table.num_rows:
+                continue
+            last = int(_run_starts(table)[-1])  # its block may go on in the next batch
+            if last:
+                yield pairs_of(table.slice(0, last).combine_chunks())
+            held = table.slice(last)
+        if held is not None and held.num_rows:
+            yield pairs_of(held.combine_chunks())
+
+    dealt = rows.unionByName(cols).repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "what")
+    return in_batches(dealt.select("key", "r", "c", "what", "id", "comp", "payload")).mapInArrow(compare, "a long, b long").distinct()
+
+
+def _run_starts(table: pa.Table) -> np.ndarray:
+    """Where blocks start in rows sorted by them; there is a row at least."""
+    changed = np.zeros(table.num_rows, bool)
+    changed[0] = True
+    for c in ("key", "r", "c"):
+        x = np.asarray(table.column(c))
+        changed[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(changed)
+
+
+def _counted(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers from each start on, so many as its size says."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 def shared_buckets(buckets: DataFrame) -> DataFrame:
@@ -134,10 +180,10 @@ def bucket_components(members: DataFrame, payloads: Callable[[DataFrame], DataFr
     further columns that possible reads.
 
     possible gets two members as structs and says whether they may be linked. verify takes materialized pairs (a, b),
-    a < b, and returns those linked. payloads takes (id) and returns (id, payload), in bytes; match takes payloads of some
-    and of others, a matrix of the pairs that matter, and the bucket's key, and returns the indices of pairs: those linked
-    if exact_match, else all that may be, for verify to decide. It may leave out a pair in all but one of the buckets that
-    both are in.
+    a < b, and returns those linked. payloads takes (id) and returns (id, payload), in bytes; match takes payloads,
+    two arrays of indices into them, the pairs, and the pairs' buckets' keys, and returns which pairs are linked if
+    exact_match, else which may be, for verify to decide. It may leave out a pair in all but one of the buckets that both
+    are in.
     """
     # The hub is the member that meets most others; in a group of near copies that is the one closest to all.
     members = gathered(members)

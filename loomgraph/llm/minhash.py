@@ -138,44 +138,34 @@ def _keyed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
 
 
+#: A payload's number of shingles and minima.
 HEAD = 8 + PERMS
 
 
-def possible(left: list[bytes], right: list[bytes], percent: int, fits: np.ndarray | None = None) -> np.ndarray:
-    """Matrix of the pairs whose sizes and minima allow a link. Bytes of different minima agree by chance in 1 of 256."""
-    a, b = (np.frombuffer(b"".join(p[:HEAD] for p in x), np.uint8).reshape(len(x), HEAD) for x in (left, right))
-    na, nb = (np.ascontiguousarray(x[:, :8]).view(np.uint64)[:, 0].astype(np.int64) for x in (a, b))
-    sizes = 100 * np.minimum(na[:, None], nb[None, :]) >= percent * np.maximum(na[:, None], nb[None, :])
-    fits = sizes if fits is None else sizes & fits
+def matcher(width: int, percent: int) -> Callable:
+    """For payloads that go on with band keys and text: which pairs are linked, each in the first bucket that both share."""
     least = int(PERMS * MIN_SHARE * percent / 80)
-    for i in np.flatnonzero(fits.any(axis=1)):
-        j = np.flatnonzero(fits[i])
-        fits[i, j] = (a[i, 8:][None, :] == b[j, 8:]).sum(axis=1) >= least
-    return fits
-
 
-def matcher(width: int, percent: int) -> Callable:
-    """For payloads that go on with band keys and text: the linked pairs that matter, each in the first bucket that both share."""
-
-    def match(left, right, matter, key):
-        ka, kb = (np.frombuffer(b"".join(p[HEAD : HEAD + 8 * BANDS] for p in x), np.int64).reshape(len(x), BANDS) for x in (left, right))
-        matter = matter.copy()
-        for i in np.flatnonzero(matter.any(axis=1)):
-            j = np.flatnonzero(matter[i])
-            same = ka[i][None, :] == kb[j]
-            matter[i, j] = ka[i][same.argmax(axis=1)] == key
-        matter = possible(left, right, percent, matter)
-        sets: dict[int, np.ndarray] = {}
-        out = []
-        for i in np.flatnonzero(matter.any(axis=1)):
-            mine = shingle_set(left[i][HEAD + 8 * BANDS :].decode(), width)
-            for j in np.flatnonzero(matter[i]):
-                if j not in sets:
-                    sets[j] = shingle_set(right[j][HEAD + 8 * BANDS :].decode(), width)
-                if linked(mine, sets[j], percent):
-                    out.append((i, j))
-        pairs = np.array(out, np.int64).reshape(-1, 2)
-        return pairs[:, 0], pairs[:, 1]
+    def match(payload: list[bytes], i: np.ndarray, j: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        heads = np.frombuffer(b"".join(x[: HEAD + 8 * BANDS] for x in payload), np.uint8).reshape(len(payload), -1)
+        sizes = np.ascontiguousarray(heads[:, :8]).view(np.int64)[:, 0]
+        bands = np.ascontiguousarray(heads[:, HEAD:]).view(np.int64)
+        out, sets = [np.empty(0, np.int64)], {}
+        for since in range(0, len(i), PIECE):
+            kept = np.arange(since, min(since + PIECE, len(i)))
+            kept = kept[100 * np.minimum(sizes[i[kept]], sizes[j[kept]]) >= percent * np.maximum(sizes[i[kept]], sizes[j[kept]])]
+            # Bytes of different minima agree by chance in 1 of 256.
+            kept = kept[(heads[i[kept], 8:HEAD] == heads[j[kept], 8:HEAD]).sum(axis=1) >= least]
+            shared = bands[i[kept]] == bands[j[kept]]
+            kept = kept[bands[i[kept], shared.argmax(axis=1)] == keys[kept]]
+            good = []
+            for k in kept.tolist():
+                for x in (i[k], j[k]):
+                    if x not in sets:
+                        sets[x] = shingle_set(payload[x][HEAD + 8 * BANDS :].decode(), width)
+                good.append(linked(sets[i[k]], sets[j[k]], percent))
+            out.append(kept[np.array(good, bool)])
+        return np.concatenate(out)
 
     return match
 
