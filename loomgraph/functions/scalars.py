@@ -99,6 +99,11 @@ def spaced_thousands(number: Column) -> Column:
     return F.replace(F.format_number(number, 0), F.lit(","), F.lit(" "))
 
 
+def grouped_digits(number: int | None) -> str:
+    """As spaced_thousands, for a number of the driver's."""
+    return f"{number or 0:,}".replace(",", " ")
+
+
 def truncated_ratio(numerator: Column, denominator: Column) -> Column:
     """Two decimals, cut off."""
     return F.floor(numerator * 100 / denominator) / 100

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import presence
+from ..scratch import materialize, narrow
 
 
 def unitig_counts(paths: DataFrame, genome: str = "ref_id", steps: str = "steps") -> DataFrame:
@@ -26,11 +27,9 @@ def repeated(counts: DataFrame) -> DataFrame:
 def dense_counts(counts: DataFrame, genomes: DataFrame, unitigs: DataFrame, genome: str = "ref_id") -> DataFrame:
     """(genome, unitig, cnt) for every genome and unitig, 0 where there is none.
 
-    The grid is the result itself, genomes times unitigs. It is made by giving each unitig the genomes' list, which is
-    as long as a row of the matrix.
+    The grid is the result itself, genomes times unitigs; the genomes are sent to all tasks if they are within bounds.
     """
-    listed = genomes.agg(F.collect_list(genome).alias("g"))
-    grid = unitigs.select("unitig").join(F.broadcast(listed)).select("unitig", F.explode("g").alias(genome))
+    grid = unitigs.select("unitig").withColumn("__one", F.lit(1)).join(narrow(materialize(genomes.select(genome).withColumn("__one", F.lit(1)), "genomes")), "__one")
     return grid.join(counts, [genome, "unitig"], "left").select(genome, "unitig", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
 
@@ -47,7 +46,7 @@ def presence_strings(counts: DataFrame, n_unitigs: int, genome: str = "ref_id")
     return have.select(genome, F.array_join(gaps, "c").alias("presence"))
 
 
-def fasta_rows(presence: DataFrame, header: str, width: int = 60) -> DataFrame:
-    """(header, fasta): >header, then the presence string in lines of so many columns."""
+def fasta_rows(presence: DataFrame, header: str, width: int = 60, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, header, fasta): >header, then the presence string in lines of so many columns; a row for each of presence."""
     wrapped = F.regexp_replace("presence", f"(.{{{width}}})(?=.)", "$1\n")
-    return presence.select(header, F.concat(F.lit(">"), F.col(header).cast("string"), F.lit("\n"), wrapped).alias("fasta"))
+    return presence.select(*keep, header, F.concat(F.lit(">"), F.col(header).cast("string"), F.lit("\n"), wrapped).alias("fasta"))

@@ -46,23 +46,37 @@ def indirect(rows: DataFrame) -> DataFrame:
     return rows.filter("NOT flag")
 
 
-def draw(rows: DataFrame, path: str, outlier: float | None = None, extreme: float | None = None, max_points: int = 200_000) -> None:
-    """A PNG of the plot, if matplotlib is there. Points are drawn on the driver, the best max_points scores of them."""
+def raster(rows: DataFrame, width: int = 1200, height: int = 700) -> DataFrame:
+    """(x, y, flag, n): connected rows by the picture's points that they fall on, distance to the right and score upwards.
+
+    All rows count, and there are no more rows than points, whatever the size of the input.
+    """
+    found = connected(rows)
+    ends = found.agg(F.min("score").alias("low"), F.max("score").alias("high"), F.max("distance").alias("far"))
+    at = lambda value, low, high, n: F.least(F.floor(F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0)) * n), F.lit(n - 1)).cast("int")
+    placed = found.join(F.broadcast(ends)).select(at(F.col("distance"), F.lit(0.0), F.col("far"), width).alias("x"), at(F.col("score"), F.col("low"), F.col("high"), height).alias("y"), "flag")
+    return placed.groupBy("x", "y", "flag").agg(F.count("*").alias("n"))
+
+
+def draw(rows: DataFrame, path: str, outlier: float | None = None, extreme: float | None = None, width: int = 1200, height: int = 700) -> None:
+    """A PNG of all connected rows, if matplotlib is there; the driver gets a row a point of the picture."""
     import matplotlib
 
     matplotlib.use("Agg")
     import matplotlib.pyplot as plt
 
-    points = connected(rows).orderBy(F.desc("score")).limit(max_points).toPandas()
-    fig, ax = plt.subplots(figsize=(12, 7))
+    ends, counts = extents(rows).first(), annotations(rows).first()
+    points = raster(rows, width, height).toPandas()
+    fig, ax = plt.subplots(figsize=(width / 100, height / 100))
     for flag, colour in ((False, "#9aa5b1"), (True, "#1f4e79")):
-        part = points[points["flag"] == flag] if "flag" in points else points
-        ax.scatter(part["distance"], part["score"], s=3, c=colour, label="direct" if flag else "indirect")
+        part = points[points["flag"] == flag]
+        ax.scatter(part["x"] / width * ends.max_distance, ends.min_score + part["y"] / height * (ends.max_score - ends.min_score), s=3, c=colour, label="direct" if flag else "indirect")
     for level in (outlier, extreme):
         if level is not None:
             ax.axhline(level, linestyle="--", linewidth=0.8)
     ax.set_xlabel("distance")
     ax.set_ylabel("score")
+    ax.set_title(f"{counts.connected_k} K connected, {counts.disconnected_k} K disconnected")
     ax.legend()
     fig.savefig(path, dpi=150)
     plt.close(fig)

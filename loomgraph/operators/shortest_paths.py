@@ -4,10 +4,12 @@ Two ways give the same distances:
 
 - ``grouped``: a graph's edges and a bucket of its sources meet in one task, which relaxes all its sources together in
   arrays. One shuffle, no iteration. Edges go to each bucket of a graph's sources, so it is for graphs that fit a task.
-- ``relaxation``: a join of frontier and edges per hop, for graphs beyond a task's memory. Each round keeps improvements
-  only; state is cut into the shared folder, so lost executors cost a round at most.
+- ``relaxation``: a join of frontier and edges per hop, for graphs beyond a task's memory. Paths through nodes that only
+  join two others are contracted first, so a hop is one from junction to junction. Each round keeps improvements only;
+  state is cut into the shared folder, so lost executors cost a round at most.
 
-``pair_distances`` chooses by the number of edges of the largest graph. Distances of ``limit`` and above are never reached.
+Both leave off where no target of a source can come nearer. ``pair_distances`` chooses by the number of edges of the largest
+graph. Distances of ``limit`` and above are never reached.
 """
 
 from __future__ import annotations
@@ -16,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialize, narrow
+from ..scratch import materialize, narrow, release
 
-#: Directed edges up to which a graph is taken into a task, and sources that a task has at once.
-TASK_EDGES = 8_000_000
+#: Directed edges up to which a graph is taken into a task (some 100 MB in arrays), and sources that a task has at once.
+TASK_EDGES = 2_000_000
 BUCKET_SOURCES = 64
+#: Rounds in which sources are picked greedily before the rest is oriented at once.
+GREEDY_ROUNDS = 6
 #: Distances held at once by a task.
 CELLS = 4_000_000
 
@@ -29,15 +33,47 @@ def orient_pairs(pairs: DataFrame) -> DataFrame:
     """pairs (v, w) as (src, dst): from the endpoint that more pairs have (the larger id if as many), so that one search
     answers many. Pairs of a vertex with itself are left out: no search answers them."""
     used = pairs.filter("v <> w").select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct()
+    both = _counted(used)
+    more = F.col("nv") > F.col("nw")
+    return both.select(F.when(more, F.col("v")).otherwise(F.col("w")).alias("src"), F.when(more, F.col("w")).otherwise(F.col("v")).alias("dst"))
+
+
+def _counted(used: DataFrame) -> DataFrame:
+    """(v, w, nv, nw): how many pairs each endpoint has."""
     ends = used.select(F.explode(F.array("v", "w")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    dv, dw = ends.select(F.col("x").alias("v"), F.col("n").alias("nv")), ends.select(F.col("x").alias("w"), F.col("n").alias("nw"))
-    both = used.join(dv, "v").join(dw, "w")
-    return both.select(F.when(F.col("nv") > F.col("nw"), F.col("v")).otherwise(F.col("w")).alias("src"), F.when(F.col("nv") > F.col("nw"), F.col("w")).otherwise(F.col("v")).alias("dst"))
+    return used.join(ends.select(F.col("x").alias("v"), F.col("n").alias("nv")), "v").join(ends.select(F.col("x").alias("w"), F.col("n").alias("nw")), "w")
+
+
+def cover_pairs(pairs: DataFrame, rounds: int = GREEDY_ROUNDS) -> DataFrame:
+    """As orient_pairs, but greedy: the vertex with most unanswered pairs (the larger id if as many) answers all of them, and
+    so on with the rest.
+
+    Vertices that beat all their neighbours are picked at once: nothing that is picked before them could change their
+    counts, so the outcome is that of picking one by one. What is left after ``rounds`` is oriented by its counts.
+    """
+    left = materialize(pairs.filter("v <> w").select(F.least("v", "w").alias("v"), F.greatest("v", "w").alias("w")).distinct(), "pairs")
+    done = None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        rank = lambda n, x: F.struct(F.col(n).alias("n"), F.col(x).alias("x"))
+        told = materialize(_counted(left), "counted")
+        ends = told.select(F.col("v").alias("x"), rank("nv", "v").alias("mine"), rank("nw", "w").alias("other")).unionByName(told.select(F.col("w").alias("x"), rank("nw", "w").alias("mine"), rank("nv", "v").alias("other")))
+        picked = materialize(ends.groupBy("x").agg(F.max("mine").alias("mine"), F.max("other").alias("other")).filter("mine > other").select("x"), "picked")
+        from_v = left.join(picked.withColumnRenamed("x", "v"), "v").select(F.col("v").alias("src"), F.col("w").alias("dst"))
+        from_w = left.join(picked.withColumnRenamed("x", "w"), "w").select(F.col("w").alias("src"), F.col("v").alias("dst"))
+        now = materialize(from_v.unionByName(from_w), "covered")
+        done = now if done is None else done.unionByName(now)
+        rest = materialize(left.join(now.select(F.least("src", "dst").alias("v"), F.greatest("src", "dst").alias("w")), ["v", "w"], "left_anti"), "pairs")
+        release(left, told, picked)
+        left = rest
+    rest = orient_pairs(left)
+    return rest if done is None else done.unionByName(rest)
 
 
 def search_jobs(pairs: DataFrame) -> DataFrame:
     """(src, n_targets) of the searches that answer the pairs."""
-    return orient_pairs(pairs).groupBy("src").agg(F.count("*").alias("n_targets"))
+    return cover_pairs(pairs).groupBy("src").agg(F.count("*").alias("n_targets"))
 
 
 def _relax(table, limit: float, two_sided: bool):
@@ -71,7 +107,16 @@ def _relax(table, limit: float, two_sided: bool):
         start = np.concatenate([np.where((at := find(part * scale + s)) >= 0, np.arange(len(part)) * n + at, -1) for s in sides])
         front = np.unique(start[start >= 0])
         dist[front] = 0.0
+        # Where a job's target stands, by side; a search is over once nothing before its farthest target is left.
+        mine = np.flatnonzero((row >= lo) & (row < lo + len(part)))
+        where = [np.where((at := find(dst[mine] * scale + s)) >= 0, (row[mine] - lo) * n + at, -1) for s in sides]
+        wanted = np.logical_or.reduce([x >= 0 for x in where])
+        where, asker = [x[wanted] for x in where], row[mine][wanted] - lo
         while len(front):
+            far = np.min([np.where(x >= 0, dist[x], np.inf) for x in where], axis=0)
+            bound = np.full(len(part), -np.inf)
+            np.maximum.at(bound, asker, far)
+            front = front[dist[front] < bound[front // n]]
             node = front % n
             degree = first[node + 1] - first[node]
             total = int(degree.sum())
@@ -84,12 +129,7 @@ def _relax(table, limit: float, two_sided: bool):
             to, d = to[better], d[better]
             np.minimum.at(dist, to, d)
             front = np.unique(to)
-        mine = np.flatnonzero((row >= lo) & (row < lo + len(part)))
-        for s in sides:
-            at = find(dst[mine] * scale + s)
-            ok = at >= 0
-            got = dist[(row[mine][ok] - lo) * n + at[ok]]
-            out[mine[ok]] = np.minimum(out[mine[ok]], got)
+        out[mine[wanted]] = np.min([np.where(x >= 0, dist[x], np.inf) for x in where], axis=0)
     hit = np.flatnonzero(np.isfinite(out))
     return src[hit], dst[hit], out[hit]
 
@@ -117,28 +157,70 @@ def grouped(edges: DataFrame, jobs: DataFrame, two_sided: bool = True, limit: fl
     return found if by else found.drop(key)
 
 
+def contracted(edges: DataFrame, kept: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """edges (by, a, b, w), symmetric, with each path through nodes of exactly two neighbours as one edge of its length.
+
+    kept (by, node) are nodes that stay in any case, such as sources and targets, so that no distance has to be put
+    together from a path's ends. Rings of nodes that all go are left out, as nothing else is joined to them. An arc finds
+    the end of its path by doubling: each round it jumps over what the arc at its end knew, so rounds grow with the
+    logarithm of the longest path.
+    """
+    edges = materialize(edges.select(*by, "a", "b", "w"), "whole")
+    inner = edges.groupBy(*by, "a").agg(F.count("*").alias("n")).filter("n = 2").select(*by, F.col("a").alias("node"))
+    if kept is not None:
+        inner = inner.join(kept.select(*by, "node").distinct(), [*by, "node"], "left_anti")
+    inner = materialize(inner, "inner")
+    # An arc (a, b) goes on as (c, d) after w more: at first by the one arc that leaves b and doesn't go back.
+    passing = edges.join(inner.withColumnRenamed("node", "b"), [*by, "b"])
+    after = edges.select(*by, F.col("a").alias("b"), F.col("b").alias("d"), "w")
+    jump = materialize(passing.select(*by, "a", "b").join(after, [*by, "b"]).filter("d <> a").select(*by, "a", "b", F.col("b").alias("c"), "d", "w"), "jumps")
+    ends = inner.withColumnRenamed("node", "d").withColumn("on", F.lit(True))
+    for _ in range(max(1, jump.count()).bit_length() + 1):
+        open_ = jump.join(ends, [*by, "d"])
+        if open_.isEmpty():
+            break
+        further = jump.select(*by, F.col("a").alias("c"), F.col("b").alias("d"), F.col("c").alias("c2"), F.col("d").alias("d2"), F.col("w").alias("w2"))
+        moved = jump.join(further, [*by, "c", "d"], "left").select(*by, "a", "b", F.coalesce("c2", "c").alias("c"), F.coalesce("d2", "d").alias("d"), (F.col("w") + F.coalesce("w2", F.lit(0.0))).alias("w"))
+        last, jump = jump, materialize(moved, "jumps")
+        release(last)
+    through = jump.join(inner.withColumnRenamed("node", "a"), [*by, "a"], "left_anti").join(ends.drop("on"), [*by, "d"], "left_anti")
+    through = through.select(*by, "a", "b", "d", F.col("w").alias("more")).join(edges, [*by, "a", "b"]).select(*by, "a", F.col("d").alias("b"), (F.col("w") + F.col("more")).alias("w"))
+    gone = inner.withColumnRenamed("node", "b")
+    plain = edges.join(gone, [*by, "b"], "left_anti").join(gone.withColumnRenamed("b", "a"), [*by, "a"], "left_anti").select(*by, "a", "b", "w")
+    return plain.unionByName(through.filter("a <> b")).groupBy(*by, "a", "b").agg(F.min("w").alias("w"))
+
+
 def relaxation(edges: DataFrame, jobs: DataFrame, two_sided: bool = True, limit: float = float("inf"), by: str | None = None) -> DataFrame:
-    """As grouped, in rounds of joins."""
+    """As grouped, in rounds of joins over the contracted graph."""
     keys = [by] if by else []
-    edges = materialize(edges.select(*keys, "a", "b", "w"), "edges")
-    starts = jobs.select(*keys, "src").distinct()
-    node = F.explode(F.array(F.col("src") * 2, F.col("src") * 2 + 1)) if two_sided else F.col("src")
+    sides = lambda c: F.explode(F.array(F.col(c) * 2, F.col(c) * 2 + 1)) if two_sided else F.col(c)
+    jobs = materialize(jobs.select(*keys, "src", "dst"), "jobs")
+    used = jobs.select(*keys, sides("src").alias("node")).unionByName(jobs.select(*keys, sides("dst").alias("node")))
     present = edges.select(*keys, F.col("a").alias("node")).distinct()
-    state = materialize(starts.select(*keys, "src", node.alias("node")).join(present, [*keys, "node"], "left_semi").withColumn("dist", F.lit(0.0)), "state")
+    # A node whose only edges went into a ring of its own is no end of any edge, but may be asked for.
+    present = materialize(present.join(used.distinct(), [*keys, "node"], "left_semi"), "present")
+    edges = materialize(contracted(edges, used, tuple(keys)), "edges")
+    starts = jobs.select(*keys, "src").distinct().select(*keys, "src", sides("src").alias("node"))
+    targets = materialize(jobs.select(*keys, "src", "dst", sides("dst").alias("node")).join(present, [*keys, "node"], "left_semi"), "targets")
+    state = materialize(starts.join(present, [*keys, "node"], "left_semi").withColumn("dist", F.lit(0.0)), "state")
     front = state
     while not front.isEmpty():
-        step = front.withColumnRenamed("node", "a").join(edges, [*keys, "a"]).groupBy(*keys, "src", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new")).filter(F.col("new") < limit)
+        # Nothing beyond a source's farthest target, as known so far, can bring one nearer.
+        near = targets.join(state, [*keys, "src", "node"], "left").groupBy(*keys, "src", "dst").agg(F.coalesce(F.min("dist"), F.lit(float("inf"))).alias("d"))
+        bound = near.groupBy(*keys, "src").agg(F.max("d").alias("bound"))
+        live = front.join(bound, [*keys, "src"]).filter("dist < bound").drop("bound")
+        step = live.withColumnRenamed("node", "a").join(edges, [*keys, "a"]).groupBy(*keys, "src", F.col("b").alias("node")).agg(F.min(F.col("dist") + F.col("w")).alias("new")).filter(F.col("new") < limit)
+        last = front
         front = materialize(step.join(state, [*keys, "src", "node"], "left").filter("dist IS NULL OR new < dist").select(*keys, "src", "node", F.col("new").alias("dist")), "front")
-        state = materialize(state.unionByName(front).groupBy(*keys, "src", "node").agg(F.min("dist").alias("dist")), "state")
-    node = F.explode(F.array(F.col("dst") * 2, F.col("dst") * 2 + 1)) if two_sided else F.col("dst")
-    targets = jobs.select(*keys, "src", "dst", node.alias("node"))
+        before, state = state, materialize(state.unionByName(front).groupBy(*keys, "src", "node").agg(F.min("dist").alias("dist")), "state")
+        release(before, None if last is before else last)
     return targets.join(state, [*keys, "src", "node"]).groupBy(*keys, "src", "dst").agg(F.min("dist").alias("distance"))
 
 
 def pair_distances(edges: DataFrame, pairs: DataFrame, two_sided: bool = True, limit: float = float("inf"), by: str | None = None) -> DataFrame:
     """(by, v, w, distance) of the pairs (by, v, w) that are reached, v < w; distances are symmetric."""
     jobs = pairs.select("v", "w")
-    oriented = orient_pairs(jobs)
+    oriented = cover_pairs(jobs)
     if by:
         asked = pairs.select(by, F.least("v", "w").alias("x"), F.greatest("v", "w").alias("y")).distinct()
         sides = oriented.select("src", "dst", F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"))

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, links
+from ..scratch import scratch_path
 
 K = 5
-#: Sources and targets of the queries' pairs.
-N_SOURCES, N_TARGETS = 20, 40
+#: Parts for one source of the queries' pairs, and a source's targets.
+PARTS_PER_SOURCE, N_TARGETS = 100, 40
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,16 +62,38 @@ def genome_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(qid, v, w, score): N_SOURCES times N_TARGETS pairs, some of a vertex with itself."""
+    """(qid, v, w, score): N_TARGETS pairs for each PARTS_PER_SOURCE parts, some of a vertex with itself."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("id"), F.col("p_retailprice").alias("price"))
     n = parts.agg((F.max("id") + 1).alias("n"))
-    grid = spark.range(N_SOURCES * N_TARGETS).withColumnRenamed("id", "qid").join(F.broadcast(n))
+    n_pairs = F.ceil(F.col("n") / PARTS_PER_SOURCE) * N_TARGETS
+    grid = n.select("n", F.explode(F.sequence(F.lit(0).cast("bigint"), n_pairs - 1)).alias("qid"))
     i, j = F.floor(F.col("qid") / N_TARGETS), F.col("qid") % N_TARGETS
     pairs = grid.select("qid", ((i * 97 + 5) % F.col("n")).alias("v"), ((i * 97 + 5 + j * 37) % F.col("n")).alias("w"))
     priced = pairs.join(parts.select(F.col("id").alias("v"), F.col("price").alias("pv")), "v").join(parts.select(F.col("id").alias("w"), F.col("price").alias("pw")), "w")
     return priced.select("qid", "v", "w", F.round(F.col("pv") / (F.col("pv") + F.col("pw")), 6).alias("score"))
 
 
+def gfa_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(rec, key, pos, value): the star schema as GFA1 text. S lines for parts, L lines for the links of every third order, P
+    lines for orders, the nation being the reference."""
+    signed = lambda seg, orient: F.concat(F.col(seg).cast("string"), F.lit("\t"), F.col(orient))
+    walks = paths(spark, sf_dir)
+    steps = F.array_join(F.transform("steps", lambda s: F.concat(s["seg"].cast("string"), s["orient"])), ",")
+    # A path of one step has no overlap, which is written as a star.
+    gaps = F.when(F.size("overlaps") > 1, F.array_join(F.transform(F.slice("overlaps", F.lit(2), F.greatest(F.size("overlaps") - 1, F.lit(1))), lambda o: F.concat(o.cast("string"), F.lit("M"))), ",")).otherwise("*")
+    s = unitigs(spark, sf_dir).select(F.lit(0).alias("rec"), F.col("unitig").alias("key"), F.lit(0).alias("pos"), F.concat_ws("\t", F.lit("S"), F.col("unitig").cast("string"), F.replace("sequence", F.lit(" "), F.lit(""))).alias("value"))
+    l = raw_links(spark, sf_dir).filter("path % 3 = 0").select(F.lit(1).alias("rec"), F.col("path").alias("key"), "pos", F.concat_ws("\t", F.lit("L"), signed("from_id", "from_orient"), signed("to_id", "to_orient"), F.concat(F.col("overlap").cast("string"), F.lit("M"))).alias("value"))
+    p = walks.select(F.lit(2).alias("rec"), F.col("path").alias("key"), F.lit(0).alias("pos"), F.concat(F.lit("P\tReference:n"), F.col("genome").cast("string"), F.lit("_Sequence:o"), F.col("path").cast("string"), F.lit("\t"), steps, F.lit("\t"), gaps).alias("value"))
+    return s.unionByName(l).unionByName(p)
+
+
+def write_gfa(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of GFA1 text in many parts, in the order of records, keys and positions."""
+    path = scratch_path(spark, "gfa")
+    gfa_lines(spark, sf_dir).repartitionByRange(8, "rec", "key", "pos").sortWithinPartitions("rec", "key", "pos").select("value").write.text(path)
+    return path
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(qid, v, w, score, distance, cnt) from line items, for outliers without a search: distance from the price, -1 as null."""
     items = table(spark, sf_dir, "lineitem")

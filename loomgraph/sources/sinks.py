@@ -5,7 +5,7 @@ Files are folders of parts in order, as Spark writes them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_distance, significant, whole
@@ -18,9 +18,26 @@ def write_lines(lines: DataFrame, path: str, order: list[str]) -> None:
     lines.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
+def partition_folder(spark: SparkSession, column: str, value: str | None) -> str:
+    """The name of the folder in which Spark's writer puts a partition's rows."""
+    if not value:
+        return f"{column}=__HIVE_DEFAULT_PARTITION__"
+    return f"{column}={spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)}"
+
+
+def empty_table(spark: SparkSession, path: str) -> None:
+    """A folder with an empty part, so that it can be read like others."""
+    spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def link_text() -> Column:
+    """``from to TT overlapM``"""
+    return F.concat_ws(" ", "from_id", "to_id", "edge_type", F.concat(F.col("overlap").cast("string"), F.lit("M")))
+
+
 def link_lines(links: DataFrame) -> DataFrame:
-    """``from to TT overlapM`` of (from_id, to_id, edge_type, overlap, seq)."""
-    return links.select("from_id", "seq", F.concat_ws(" ", "from_id", "to_id", "edge_type", F.concat(F.col("overlap").cast("string"), F.lit("M"))).alias("value"))
+    """Lines of (from_id, to_id, edge_type, overlap, seq)."""
+    return links.select("from_id", "seq", link_text().alias("value"))
 
 
 def unitig_lines(segments: DataFrame) -> DataFrame:

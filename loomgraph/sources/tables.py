@@ -22,8 +22,9 @@ LAYOUT_NAMES = {k: " ".join("count" if c == "cnt" else c for c in v) for k, v in
 
 
 def infer_layout(n_fields: int, outliers_only: bool = False) -> int:
-    """The layout by the number of fields of the first line; -1 if none fits. Result files with moments have 8 or 9."""
-    return {2: 0, 3: 1, 4: 2, 5: 4 if outliers_only else 3, 6: 5, 8: 4, 9: 5}.get(n_fields, -1)
+    """The layout by the number of fields of the first line; -1 if none fits. Result files with moments don't tell by their
+    number of fields which columns they have, so their layout has to be given."""
+    return {2: 0, 3: 1, 4: 2, 5: 4 if outliers_only else 3, 6: 5}.get(n_fields, -1)
 
 
 def layout_columns(layout: int, with_distance: bool = False) -> dict[str, int]:
@@ -90,12 +91,13 @@ def read_unitigs(spark: SparkSession, path: str, k: int) -> DataFrame:
 
 
 def read_links(spark: SparkSession, paths: str | list[str], one_based: bool = False) -> DataFrame:
-    """(file, from_id, to_id, edge_type, overlap) of two-sided graphs; overlap is null where the column is missing."""
+    """(source, from_id, to_id, edge_type, overlap) of two-sided graphs; source is the place in the list of paths; overlap is
+    null where the column is missing."""
     check_readable(spark, [paths] if isinstance(paths, str) else paths)
     f = F.col("fields")
     lines = _at_least(field_lines(spark, paths), 3)
     shift = int(one_based)
-    return lines.select("file", (field(f, 0).cast("bigint") - shift).alias("from_id"), (field(f, 1).cast("bigint") - shift).alias("to_id"), field(f, 2).alias("edge_type"), leading_integer(field(f, 3)).alias("overlap"))
+    return lines.select("source", (field(f, 0).cast("bigint") - shift).alias("from_id"), (field(f, 1).cast("bigint") - shift).alias("to_id"), field(f, 2).alias("edge_type"), leading_integer(field(f, 3)).alias("overlap"))
 
 
 def read_listing(spark: SparkSession, path: str) -> list[str]:
@@ -108,13 +110,10 @@ def read_listing(spark: SparkSession, path: str) -> list[str]:
 
 
 def read_genome_links(spark: SparkSession, listing: str, one_based: bool = False) -> DataFrame:
-    """Links of all genomes of a listing, with genome: the 0-based line of its file."""
-    paths = read_listing(spark, listing)
-    links = read_links(spark, paths, one_based)
-    index = spark.createDataFrame([(i, p.rstrip("/").rsplit("/", 1)[-1]) for i, p in enumerate(paths)], "genome long, name string")
-    if index.select("name").distinct().count() < len(paths):
-        raise InputError([(None, "two genomes have files of the same name")])
-    return links.withColumn("name", F.regexp_extract("file", "[^/]+$", 0)).join(F.broadcast(index), "name").drop("name", "file")
+    """Links of all genomes of a listing, with genome: the 0-based line of its file or folder. Names may repeat in different
+    folders; a genome that is listed twice is one genome, as its first line."""
+    paths = list(dict.fromkeys(read_listing(spark, listing)))
+    return read_links(spark, paths, one_based).withColumnRenamed("source", "genome")
 
 
 def read_plot_rows(spark: SparkSession, path: str, n_rows: int = 0) -> DataFrame:

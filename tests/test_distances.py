@@ -151,3 +151,67 @@ def test_options():
 def test_zero_distance_prints_as_unreached_minimum(spark):
     found = spark.createDataFrame([(0, 1, 2, 0.0, 0.0, 0.0, 0.0, 0.5)], "qid long, v long, w long, distance double, m2 double, min_d double, max_d double, score double")
     assert sinks.distance_lines(found, False).first().value == "1 2 0 0.5 0 1.79769e+308 0"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_contraction_keeps_distances(spark, seed):
+    """Long chains, rings on a stem, rings of their own, and nodes asked for in the middle of a chain."""
+    rng = random.Random(seed)
+    edges, n = {}, 0
+
+    def chain(a, b, length):
+        nonlocal n
+        nodes = [a, *range(n, n + length), b]
+        n += length
+        for x, y in zip(nodes, nodes[1:]):
+            if x != y:
+                edges[min(x, y), max(x, y)] = rng.choice([0.0, 1.0, 3.5])
+
+    hubs = list(range(6))
+    n = 6
+    for _ in range(9):
+        chain(rng.choice(hubs), rng.choice(hubs), rng.randrange(0, 70))
+    ring = n
+    n += 1
+    chain(ring, ring, 33)
+    sym = [(a, b, w) for (a, b), w in edges.items()] + [(b, a, w) for (a, b), w in edges.items()]
+    jobs = [(rng.randrange(n), rng.randrange(n)) for _ in range(40)]
+    e = spark.createDataFrame(sym, "a long, b long, w double")
+    j = spark.createDataFrame(jobs, "src long, dst long")
+    want = {}
+    for s, t in jobs:
+        d = dijkstra(sym, (s,), float("inf"))
+        if t in d:
+            want[s, t] = d[t]
+    for way in (shortest_paths.relaxation, shortest_paths.grouped):
+        assert {(r.src, r.dst): r.distance for r in way(e, j, False).distinct().collect()} == pytest.approx(want), way
+    core = shortest_paths.contracted(e).collect()
+    degree = {}
+    for a, _, _ in sym:
+        degree[a] = degree.get(a, 0) + 1
+    assert all(degree[r.a] != 2 and degree[r.b] != 2 and r.a != r.b for r in core)
+    hub = max(hubs, key=lambda x: degree.get(x, 0))
+    near = dijkstra([tuple(r) for r in core], (hub,), float("inf"))
+    assert all(near.get(x, 0.0) == pytest.approx(d) for x, d in dijkstra(sym, (hub,), float("inf")).items() if degree[x] != 2)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cover_is_that_of_picking_one_by_one(spark, seed):
+    rng = random.Random(seed)
+    pairs = {(rng.randrange(30) ** 2 // 30, rng.randrange(60)) for _ in range(150)}
+    left = {(min(p), max(p)) for p in pairs if p[0] != p[1]}
+    want = set()
+    rest = set(left)
+    while rest:
+        count = {}
+        for p in rest:
+            for x in p:
+                count[x] = count.get(x, 0) + 1
+        top = max(count, key=lambda x: (count[x], x))
+        mine = {p for p in rest if top in p}
+        want |= {(top, p[0] + p[1] - top) for p in mine}
+        rest -= mine
+    df = spark.createDataFrame(sorted(pairs), "v long, w long")
+    assert {(r.src, r.dst) for r in shortest_paths.cover_pairs(df, rounds=50).collect()} == want
+    few = {(r.src, r.dst) for r in shortest_paths.cover_pairs(df, rounds=1).collect()}
+    assert {(min(p), max(p)) for p in few} == left and len(few) == len(left)

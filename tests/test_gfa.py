@@ -82,3 +82,55 @@ def test_errors(spark, gfa_file, change, message, line):
     with pytest.raises(InputError) as e:
         read_gfa(spark, gfa_file(change(GFA)))
     assert any(message in m and (line is None or n == line) for n, m in e.value.errors), e.value.errors
+
+
+def test_parse_to_genome_distances(spark, gfa_file, tmp_path):
+    """The outputs of a parse, in several parts, are the inputs of a run: listing, edges and unitigs go in as they are."""
+    from loomgraph.plans.options import Options
+
+    stem = str(tmp_path / "out")
+    runs.parse_gfa(spark, gfa_file(), stem)
+    # Every output again, a line a part, as a large one would have many parts.
+    for path in (f"{stem}.unitigs", f"{stem}.edges", f"{stem}.paths"):
+        text = lines(path)
+        spark.createDataFrame(list(enumerate(text)), "n int, value string").repartitionByRange(len(text), "n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+        assert lines(path) == text
+    (tmp_path / "q").write_text("0 1\n0 2\n0 3\n1 2\n1 3\n2 3\n1 1\n")
+    got = runs.run(spark, Options(str(tmp_path / "q"), f"{stem}.edges", f"{stem}.unitigs", k=3, genomes_file=f"{stem}.paths", output_stem=stem))
+    assert [r.distance for r in got.main.orderBy("qid").collect()] == [1, 3, 2, 1, 1, 3, None]
+    assert [(r.distance, r.cnt) for r in got.genomes.orderBy("qid").collect()] == [(1, 1), (3, 1), (None, 0), (1, 2), (1, 1), (3, 1), (None, 0)]
+
+
+def test_line_numbers_go_on_over_parts(spark, tmp_path):
+    from loomgraph.sources.scan import numbered_lines
+
+    want = [f"line {i}" for i in range(300)]
+    spark.createDataFrame([(i, x) for i, x in enumerate(want)], "n int, value string").repartitionByRange(13, "n").sortWithinPartitions("n").select("value").write.text(str(tmp_path / "folder"))
+    got = sorted((r.line_no, r.value) for r in numbered_lines(spark, str(tmp_path / "folder")).collect())
+    assert got == [(i + 1, x) for i, x in enumerate(want)]
+    (tmp_path / "a b").mkdir()
+    for folder, name, text in (("a b", "x", "1\n2\n"), ("folder/..", "x", "3\n4\n5\n")):
+        (tmp_path / folder / name).write_text(text)
+    paths = [str(tmp_path / "folder"), str(tmp_path / "a b" / "x"), str(tmp_path / "x")]
+    got = numbered_lines(spark, paths).collect()
+    assert sorted((r.line_no, r.value) for r in got if r.source == 1) == [(1, "1"), (2, "2")]
+    assert sorted((r.line_no, r.value) for r in got if r.source == 2) == [(1, "3"), (2, "4"), (3, "5")]
+    assert max(r.line_no for r in got if r.source == 0) == 300
+
+
+def test_references_with_one_sequence_name_and_odd_names(spark, gfa_file, tmp_path):
+    """A row a reference, and folders that the listing names as Spark writes them; a reference without links has one, too."""
+    stem = str(tmp_path / "out")
+    text = "S\ta\tAC\nS\tb\tCG\nP\tReference:x=1/2_Sequence:chr\ta+,b+\t1M\nP\tReference:y:z_Sequence:chr\tb+,a+\t1M\nP\tReference:lone_Sequence:chr\ta+\t*\n"
+    runs.parse_gfa(spark, gfa_file(text), stem)
+    assert lines(f"{stem}.fasta") == [">chr", "cc", ">chr", "cc", ">chr", "aa"]
+    from loomgraph.sources.tables import read_genome_links
+
+    got = read_genome_links(spark, f"{stem}.paths").collect()
+    assert sorted((r.genome, r.from_id, r.to_id, r.edge_type) for r in got) == [(0, 0, 1, "FF"), (1, 0, 1, "RR")]
+
+
+def test_verbose_runs_tell_sizes(spark, gfa_file, tmp_path, caplog):
+    caplog.set_level("INFO", logger="loomgraph.plans.runs")
+    runs.parse_gfa(spark, gfa_file(), str(tmp_path / "out"))
+    assert "4 segments, 4 links, 2 references, 4 path lines" in caplog.text
