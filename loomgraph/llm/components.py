@@ -149,7 +149,9 @@ def _blocks(members: DataFrame, match: Callable) -> DataFrame:
         if held is not None and held.num_rows:
             yield pairs_of(held.combine_chunks())
 
-    dealt = rows.unionByName(cols).repartition("key", "r", "c").sortWithinPartitions("key", "r", "c", "what")
+    # The number is given, as comparing takes more than its bytes tell.
+    n_tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.unionByName(cols).repartition(n_tasks, "key", "r", "c").sortWithinPartitions("key", "r", "c", "what")
     return in_batches(dealt.select("key", "r", "c", "what", "id", "comp", "payload")).mapInArrow(compare, "a long, b long").distinct()
 
 
