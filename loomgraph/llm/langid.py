@@ -15,7 +15,8 @@ the best language isn't among those asked for.
 Cases: a null or empty text is rejected, with the language that other evidence gives and text_lang null; null declared
 languages, hosts and suffixes are no evidence of their own (all null hosts form one host); languages with fewer than
 MIN_LABELS labelled rows aren't learned, all others are, whatever their share; if none is learned all rows are rejected with
-a null language; rows that repeat are judged alike; an empty table gives an empty result; other columns aren't touched.
+a null language; of languages that are as likely, the first by name is given; a text of any length is read whole, in pieces;
+rows that repeat are judged alike; an empty table gives an empty result; other columns aren't touched.
 """
 
 from __future__ import annotations
@@ -180,14 +181,17 @@ def identify(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def document_rows(documents: DataFrame) -> DataFrame:
-    """Rows for identify: the lang column is the declared language, the source stands for the host."""
-    return documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text", F.col("lang").alias("declared"), F.lit(None).cast("string").alias("suffix"), F.col("source").alias("host"))
+    """Rows for identify: the lang column is the declared language, the source is the host. The suffix is the source's top
+    domain, if it has one, else the source without its number, which groups sources of one family."""
+    domain, family = F.regexp_extract("source", r"\.([a-z]{2,})$", 1), F.regexp_replace("source", r"[0-9]+$", "")
+    suffix = F.when(domain != "", domain).otherwise(family)
+    return documents.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), "text", F.col("lang").alias("declared"), suffix.alias("suffix"), F.col("source").alias("host"))
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
     """Rows for identify: the lang attribute of the markup; the top domain and a two-letter first folder as suffix."""
-    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " "), r"(?s)<[^>]*>|&[a-zA-Z#0-9]{1,10};", " ")
-    declared = F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*?\slang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)|<!--.*?(?:-->|\z)", " "), r"(?s)<[^<>]*>|&[a-zA-Z#0-9]{1,10};", " ")
+    declared = F.lower(F.regexp_extract("html", r"""(?i)<html[^<>]*?\slang\s*=\s*["']?([a-zA-Z]{2,3})""", 1))
     url = F.col("url")
     folder = F.lower(F.regexp_extract(path(url), "^/([A-Za-z]{2})(?:/|$)", 1))
     suffix = F.concat(F.regexp_extract(host(url), "([^.]*)$", 1), F.lit("/"), folder)

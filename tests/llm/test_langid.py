@@ -121,3 +121,88 @@ def test_model_matches_a_dense_table():
         total, k = model.total(t)
         g = [int(x) for g in langid.trigrams(t) for x in g]
         assert k == len(g) and total == pytest.approx(logs[g].sum(axis=0), rel=1e-5)
+
+
+def brute(data):
+    """(best language, posterior) of rows (text, declared, suffix, host) by the formulas of the docstring, in plain Python."""
+    import math
+    from collections import Counter, defaultdict
+
+    def grams(text):
+        b = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in (text or "").encode().lower())
+        out = []
+        for x, y, z in zip(b, b[1:], b[2:]):
+            if y != 32 and not (x == 32 and z == 32):
+                out.append(((x << 16 | y << 8 | z) * 0x9E3779B1 % (1 << 32)) >> 16)
+        return out
+
+    labels = Counter(d for t, d, _, _ in data if d is not None and t)
+    langs = sorted(x for x, n in labels.items() if n >= 3)
+    counts = {x: Counter(g for t, d, _, _ in data if d == x for g in grams(t)) for x in langs}
+    text, post, read = [], [], []
+    for t, *_ in data:
+        g = grams(t)
+        logs = [sum(math.log((counts[x][k] + 0.05) / (sum(counts[x].values()) + 0.05 * 65536)) for k in g) * min(1.0, 120 / max(len(g), 1)) for x in langs]
+        top = max(logs)
+        e = [math.exp(v - top) for v in logs]
+        text.append(logs)
+        read.append(float(bool(g)))
+        post.append([v / sum(e) * bool(g) for v in e])
+    sums = lambda key: (defaultdict(lambda: [0.0] * len(langs)), defaultdict(float))
+    host, host_n = sums(0)
+    suffix, suffix_n = sums(0)
+    said, said_n = sums(0)
+    for (_, d, s, h), p, r in zip(data, post, read):
+        for table, n, key in ((host, host_n, (h, s)), (suffix, suffix_n, s), *([(said, said_n, d)] if d is not None else [])):
+            table[key] = [a + b for a, b in zip(table[key], p)]
+            n[key] += r
+    world = [(sum(p[i] for p in post) + 1) / (sum(read) + len(langs)) for i in range(len(langs))]
+    spoken = sum(said_n.values())
+    out = []
+    for (_, d, s, h), logs, p, r in zip(data, text, post, read):
+        f = []
+        for i in range(len(langs)):
+            by = (suffix[s][i] + 20 * world[i]) / (suffix_n[s] + 20)
+            prior = (max(0.0, host[h, s][i] - p[i]) + 20 * by) / (max(0.0, host_n[h, s] - r) + 20)
+            e = 0.0
+            if d is not None:
+                guess = 5 * (said_n[d] + 1) / (spoken + 1)
+                e = math.log((said[d][i] + guess) / (sum(v[i] for v in said.values()) + 5))
+            f.append(logs[i] + math.log(prior) + e)
+        top = max(f)
+        out.append((langs[f.index(top)], 1 / sum(math.exp(v - top) for v in f)))
+    return out
+
+
+def test_posteriors_match_brute_force(rows):
+    """All four kinds of evidence at once; texts of one word, wrong and missing declarations, shared and lone hosts."""
+    rng = random.Random(21)
+    data = []
+    for i in range(160):
+        lang = rng.choice(list(WORDS))
+        declared = rng.choice([lang, lang, lang, None, rng.choice(list(WORDS))])
+        data.append((text(lang, rng.choice([1, 1, 2, 5, 30]), rng), declared, {"en": "com", "de": "de", "fr": rng.choice(["fr", None])}[lang], rng.choice([f"{lang}{rng.randrange(4)}", f"lone{i}", None])))
+    data += [("", "de", "de", "de1"), (None, None, "fr", "fr0"), ("123", "en", None, None)]
+    got = sorted(langid.identify(rows(data)).collect(), key=lambda r: r.id)
+    want = brute(data)
+    assert [r.lang for r in got] == [w[0] for w in want]
+    assert [r.posterior for r in got] == pytest.approx([w[1] for w in want], abs=1e-4)
+
+
+def test_query_and_ties(spark, docs, tmp_path):
+    """The registered query over a table: the source is the host, its top domain the suffix. Of languages that are as likely,
+    the first by name is given."""
+    rng = random.Random(22)
+    data = [(i, text(lang, 20, rng), lang, f"news{i % 3}.{lang}") for i in range(20) for lang in ("de", "fr")]
+    data += [(100, "??", None, "other.fr"), (101, "??", None, None)]
+    docs(data).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.lang) for r in langid.query(spark, str(tmp_path)).collect()}
+    assert {(100, "fr"), (101, "de")} <= got and len(got) == 42
+
+
+def test_unclosed_markup_takes_linear_time(spark):
+    import time
+
+    began = time.time()
+    pages = [(i, "http://a.de/", x) for i, x in enumerate(("<script>" * 200_000, "<!--" * 400_000, "<" * 1_500_000, "<html " * 300_000))]
+    assert langid.page_rows(spark.createDataFrame(pages, "page_id long, url string, html string")).select("declared", "text").collect() and time.time() - began < 60
