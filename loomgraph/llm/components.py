@@ -97,20 +97,22 @@ def _open_buckets(members: DataFrame) -> DataFrame:
     return members.join(several.drop("comps"), "key")
 
 
-def _blocks(members: DataFrame, match: Callable) -> DataFrame:
-    """Pairs (a, b) of different components of a bucket that match finds. members has payload, bytes.
+def _blocks(members: DataFrame, payloads: DataFrame, match: Callable) -> DataFrame:
+    """Pairs (a, b) of different components of a bucket that match finds. payloads: materialized (id, payload).
 
-    A task gets many blocks, one after another, and compares small ones together.
+    A task gets many blocks, one after another, and compares small ones together. Members are dealt out by their numbers;
+    payloads, which may be whole texts, join them last.
     """
-    sizes = members.groupBy("key").agg(F.sum(F.length("payload")).alias("bytes"))
-    n = F.greatest(F.ceil(F.col("bucket_size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     side = F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.lit(1))
-    base = members.join(sizes, "key").withColumn("n", n).withColumn("side", side)
-    base = base.select("key", "id", "comp", "payload", "side", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
+    sized = members.select("key", "id", "comp", side.alias("side"), "bucket_size").join(payloads.select("id", F.length("payload").alias("length")), "id")
+    sized = gathered(materialize(sized, "sized"))
+    n = F.greatest(F.ceil(F.col("bucket_size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    base = sized.join(sized.groupBy("key").agg(F.sum("length").alias("bytes")), "key").withColumn("n", n)
+    base = base.select("key", "id", "comp", "side", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
     # A member outside main stands in its own row of blocks as one of some, and every member in each used row as one of all.
-    rows = base.filter("side = 1").select("key", "id", "comp", "payload", F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"), F.lit(0).alias("what"))
+    rows = base.filter("side = 1").select("key", "id", "comp", F.col("block").alias("r"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"), F.lit(0).alias("what"))
     used = base.filter("side = 1").groupBy("key").agg(F.collect_set("block").alias("used"))
-    cols = base.join(used, "key").select("key", "id", "comp", "payload", F.explode("used").alias("r"), F.col("block").alias("c"), F.lit(1).alias("what"))
+    cols = base.join(used, "key").select("key", "id", "comp", F.explode("used").alias("r"), F.col("block").alias("c"), F.lit(1).alias("what"))
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch:
         """Of whole blocks, in which members that are one of some stand first."""
@@ -151,7 +153,7 @@ def _blocks(members: DataFrame, match: Callable) -> DataFrame:
 
     # The number is given, as comparing takes more than its bytes tell.
     n_tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.unionByName(cols).repartition(n_tasks, "key", "r", "c").sortWithinPartitions("key", "r", "c", "what")
+    dealt = rows.unionByName(cols).join(narrow(payloads), "id").repartition(n_tasks, "key", "r", "c").sortWithinPartitions("key", "r", "c", "what")
     return in_batches(dealt.select("key", "r", "c", "what", "id", "comp", "payload")).mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -211,7 +213,7 @@ def bucket_components(members: DataFrame, payloads: Callable[[DataFrame], DataFr
         else:
             asked = materialize(now.select("id").distinct(), "asked")
             pairs = None
-            found = _blocks(now.join(payloads(asked), "id"), match)
+            found = _blocks(now, materialize(payloads(asked), "payloads"), match)
             if not exact_match:
                 pairs = materialize(found, "pairs")
                 found = verify(gathered(pairs))
