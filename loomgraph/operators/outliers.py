@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from ..scratch import materialize
 
 
+#: Parts of the scores' span that are counted before any is sorted.
+RANGES = 4096
+
+
 @dataclass(frozen=True)
 class Settings:
     ld_distance: int = -1
@@ -62,13 +66,24 @@ def largest_distance(pairs: DataFrame, count_threshold: int) -> DataFrame:
 def order_statistics(values: DataFrame, ranks: dict[str, F.Column], value: str = "score") -> DataFrame:
     """One row: for each name, the value at that 0-based rank in ascending order, with n.
 
-    ranks are expressions of n, the number of values. Equal values are summed up before they are ordered, so the one
-    task that orders gets a row a distinct value.
+    ranks are expressions of n, the number of values. Equal values are summed up, then counted by RANGES equal parts of
+    their span; only the table of parts is summed up in one task, and only the parts that ranks fall into are sorted, each
+    by itself.
     """
-    sums = values.groupBy(value).agg(F.count("*").alias("k"))
-    upto = F.sum("k").over(Window.orderBy(value))
-    placed = sums.select(F.col(value).alias("x"), upto.alias("upto"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    return placed.agg(F.max("n").alias("n"), *(F.min(F.when(F.col("upto") > rank, F.col("x"))).alias(name) for name, rank in ranks.items()))
+    sums = values.groupBy(F.col(value).alias("x")).agg(F.count("*").alias("k"))
+    span = sums.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    part = F.least(F.floor(F.coalesce(F.try_divide(F.col("x") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0)) * RANGES), F.lit(RANGES - 1))
+    placed = sums.join(F.broadcast(span)).select("x", "k", part.alias("part"))
+    parts = placed.groupBy("part").agg(F.sum("k").alias("k"))
+    upto, all_ = F.sum("k").over(Window.orderBy("part")), F.sum("k").over(Window.partitionBy())
+    # One row a part and rank, so as many rows as there are ranks.
+    parts = parts.select("part", (upto - F.col("k")).alias("ahead"), upto.alias("upto"), all_.alias("n"))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("bigint").alias("rank")) for name, rank in ranks.items())))
+    asked = parts.select("*", asked.alias("r")).filter("r.rank >= ahead AND r.rank < upto").select("part", "ahead", "n", "r.name", "r.rank")
+    inside = placed.join(F.broadcast(asked), "part")
+    before = F.sum("k").over(Window.partitionBy("name").orderBy("x")) + F.col("ahead")
+    found = inside.select("n", "name", "rank", "x", before.alias("upto")).filter("upto > rank").groupBy("name").agg(F.max("n").alias("n"), F.min("x").alias("x"))
+    return found.agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, F.col("x"))).alias(name) for name in ranks))
 
 
 def tukey(maxima: DataFrame, nth: int = 10) -> DataFrame:
@@ -80,9 +95,18 @@ def tukey(maxima: DataFrame, nth: int = 10) -> DataFrame:
     return found.select("n", "q1", "q3", (F.col("q3") + 1.5 * iqr).alias("outlier"), (F.col("q3") + 3 * iqr).alias("extreme"), "nth_score")
 
 
-def _thresholds(pairs: DataFrame, ld_distance: int, settings: Settings, last: Thresholds) -> Thresholds:
-    """Thresholds at a cutoff. Without any background, only max_score changes and the rest stays as it was last."""
-    row = tukey(vertex_maxima(passing(pairs, ld_distance, settings.count_threshold)), settings.nth_score).first()
+def vertex_steps(pairs: DataFrame, count_threshold: int) -> DataFrame:
+    """(vertex, distance, score): what can be a vertex's best score at some cutoff, that is its pairs that no other one with a
+    better score is as far as or farther than. Pairs without enough genomes are left out."""
+    far = pairs.filter(F.col("cnt") >= count_threshold).select(F.explode(F.array("v", "w")).alias("vertex"), _fixed().alias("distance"), "score")
+    best = far.groupBy("vertex", "distance").agg(F.max("score").alias("score"))
+    beyond = F.max("score").over(Window.partitionBy("vertex").orderBy(F.desc("distance")).rowsBetween(Window.unboundedPreceding, -1))
+    return best.withColumn("beyond", beyond).filter("beyond IS NULL OR score > beyond").drop("beyond")
+
+
+def _thresholds(maxima: DataFrame, ld_distance: int, settings: Settings, last: Thresholds) -> Thresholds:
+    """Thresholds at a cutoff, from its background. Without any, only max_score changes and the rest stays as it was last."""
+    row = tukey(maxima, settings.nth_score).first()
     if row is None or row.n is None:
         return replace(last, ld_distance=ld_distance, max_score=0.0)
     return Thresholds(ld_distance, row.outlier, row.extreme, row.nth_score, row.n)
@@ -93,19 +117,23 @@ def find_thresholds(pairs: DataFrame, settings: Settings) -> Thresholds:
 
     Bisection is over whole distances between ld_distance_min (0 if no distance is as large) and the largest distance; a
     cutoff is too large once the nth best background score falls under ld_distance_score times the best score. What
-    counts is the last cutoff that was tried. It takes some 20 small aggregations of the one materialized table.
+    counts is the last cutoff that was tried. Pairs are read once, for ``vertex_steps``; its few rows a vertex are what the
+    some 20 cutoffs are tried on.
     """
     last = Thresholds(settings.ld_distance, settings.outlier_threshold, settings.outlier_threshold)
     if settings.ld_distance >= 0:
-        return _thresholds(pairs, settings.ld_distance, settings, last) if settings.outlier_threshold < 0 else last
-    pairs = materialize(pairs.select("v", "w", "score", "distance", "cnt"), "pairs")
+        if settings.outlier_threshold >= 0:
+            return last
+        return _thresholds(vertex_maxima(passing(pairs, settings.ld_distance, settings.count_threshold)), settings.ld_distance, settings, last)
     top = score_summary(pairs).first().largest_score or 0.0
     need = settings.ld_distance_score * top
-    b = int(largest_distance(pairs, settings.count_threshold).first().largest_distance)
+    steps = materialize(vertex_steps(pairs, settings.count_threshold), "steps")
+    b = int(max(steps.agg(F.max("distance")).first()[0] or 0, 0))
     a = settings.ld_distance_min if b >= settings.ld_distance_min else 0
     while b - a > 1:
         middle = (a + b) // 2
-        last = _thresholds(pairs, middle, settings, last)
+        maxima = steps.filter(F.col("distance") >= middle).groupBy("vertex").agg(F.max("score").alias("score")).filter("score > 0")
+        last = _thresholds(maxima, middle, settings, last)
         a, b = (a, middle) if last.max_score < need else (middle, b)
     return last
 
