@@ -96,7 +96,7 @@ def train(rows: DataFrame, label: str, text: str, order: Column) -> tuple[list[s
         return [], None, 0.0
     # The hash is even over 64 bits, so a bound on it gives the rows with the least hashes, about TRAIN_ROWS of each.
     bounds = [(i, k, min((1 << 63) - 1, (1 << 64) * min(TRAIN_ROWS, counts[k]) // counts[k] - (1 << 63))) for i, k in enumerate(languages)]
-    bounds = narrow(rows.sparkSession.createDataFrame(bounds, "lang int, known string, bound long"))
+    bounds = narrow(materialize(rows.sparkSession.createDataFrame(bounds, "lang int, known string, bound long").coalesce(1), "bounds"))
 
     def count(batches):
         for batch in batches:
