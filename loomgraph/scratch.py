@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 8 << 20
 #: The same for what one task reads, so that loops over small tables don't deal out crumbs.
 TASK_ROWS, TASK_BYTES = 100_000, 1 << 20
+FILES_A_CORE = 4
 _FOLDERS: set[str] = set()
 
 
@@ -58,6 +59,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """As materialize, in FILES_A_CORE files for each core at most: for tables of numbers that loops store again and again.
+
+    Where executors come and go with the load, the number of cores just now says little, and files are as many as tasks.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false") != "true":
+        df = df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism)
+    return materialize(df, name)
+
+
 def release(*tables: DataFrame | None) -> None:
     """Remove materialized tables that no plan will read any more."""
     for df in tables:
