@@ -8,9 +8,9 @@ import types
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import delete, gathered, materialize, narrow, release, scratch_dir, scratch_path
+from ..scratch import delete, gathered, materialize, narrow, release, scratch_dir, scratch_path, stored
 
-__all__ = ["ASCII_UPPER", "SPACE", "ascii_lower", "delete", "gathered", "in_batches", "materialize", "narrow", "release", "scratch_dir", "scratch_path", "worker_cache"]
+__all__ = ["ASCII_UPPER", "SPACE", "ascii_lower", "delete", "gathered", "in_batches", "materialize", "narrow", "release", "scratch_dir", "scratch_path", "stored", "worker_cache"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII white space as a Java and RE2 class: space and U+0009 to U+000D.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, in_batches, materialize, narrow, release
+from .common import gathered, in_batches, materialize, narrow, release, stored
 
 STAR_ROUNDS = 2
 #: Members, and bytes of payloads, of a block.
@@ -57,11 +57,11 @@ def _sign(edges: DataFrame) -> tuple:
 
 def connected_components(links: DataFrame) -> DataFrame:
     """links: (a, b). (id, component) of all ids in links; component is the least id reachable."""
-    edges = materialize(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
+    edges = stored(links.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct(), "edges")
     last = None
     while (now := _sign(edges)) != last:
         last, before = now, edges
-        edges = materialize(small_star(large_star(gathered(edges))), "edges")
+        edges = stored(small_star(large_star(gathered(edges))), "edges")
         release(before)
     edges = gathered(edges)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
@@ -74,8 +74,8 @@ def merged_components(known: DataFrame | None, links: DataFrame) -> DataFrame:
     links, known = gathered(links), gathered(known)
     held = narrow(known)
     told = links.join(held.select(F.col("id").alias("a"), F.col("component").alias("p")), "a", "left").join(held.select(F.col("id").alias("b"), F.col("component").alias("q")), "b", "left")
-    told = gathered(materialize(told.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")), "roots"))
-    roots = materialize(connected_components(told.select(F.col("p").alias("a"), F.col("q").alias("b"))), "joined")
+    told = gathered(stored(told.select("a", "b", F.coalesce("p", "a").alias("p"), F.coalesce("q", "b").alias("q")), "roots"))
+    roots = stored(connected_components(told.select(F.col("p").alias("a"), F.col("q").alias("b"))), "joined")
     ends = told.select(F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("p").alias("root")), F.struct(F.col("b").alias("id"), F.col("q").alias("root")))).alias("e")).select("e.*")
     # A link's ends come with one root whatever link names them, so equal rows are the same id.
     ids = known.select("id", F.col("component").alias("root")).unionByName(ends).distinct()
@@ -105,7 +105,7 @@ def _blocks(members: DataFrame, payloads: DataFrame, match: Callable) -> DataFra
     """
     side = F.when(F.col("comp") == F.col("main"), F.lit(0)).otherwise(F.lit(1))
     sized = members.select("key", "id", "comp", side.alias("side"), "bucket_size").join(payloads.select("id", F.length("payload").alias("length")), "id")
-    sized = gathered(materialize(sized, "sized"))
+    sized = gathered(stored(sized, "sized"))
     n = F.greatest(F.ceil(F.col("bucket_size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     base = sized.join(sized.groupBy("key").agg(F.sum("length").alias("bytes")), "key").withColumn("n", n)
     base = base.select("key", "id", "comp", "side", "n", F.pmod(F.xxhash64("id"), F.col("n")).cast("int").alias("block"))
@@ -175,7 +175,7 @@ def _counted(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def shared_buckets(buckets: DataFrame) -> DataFrame:
     """The rows of buckets (key, id, ...) whose key several rows have. Only keys and counts are shuffled, unless the keys
     that are shared are too many to be broadcast."""
-    held = narrow(materialize(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "held"))
+    held = narrow(stored(buckets.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "held"))
     return buckets.join(held, "key", "left_semi")
 
 
@@ -192,11 +192,11 @@ def bucket_components(members: DataFrame, payloads: Callable[[DataFrame], DataFr
     # The hub is the member that meets most others; in a group of near copies that is the one closest to all.
     members = gathered(members)
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    met = materialize(members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("met")), "met")
+    met = stored(members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("met")), "met")
     more = [c for c in members.columns if c != "key"]
     components = None
     for i in range(rounds + 1):
-        held = materialize(_open_buckets(_with_component(members, components)), "open-members")
+        held = stored(_open_buckets(_with_component(members, components)), "open-members")
         if held.isEmpty():
             release(held)
             break
@@ -208,18 +208,18 @@ def bucket_components(members: DataFrame, payloads: Callable[[DataFrame], DataFr
             pairs = now.join(chosen, "key").filter("comp <> pivot.comp")
             if possible is not None:
                 pairs = pairs.filter(possible(F.struct(*more), F.col("pivot")))
-            pairs = materialize(pairs.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct(), "pairs")
+            pairs = stored(pairs.select(F.least("id", "pivot.id").alias("a"), F.greatest("id", "pivot.id").alias("b")).distinct(), "pairs")
             found = verify(gathered(pairs))
         else:
-            asked = materialize(now.select("id").distinct(), "asked")
+            asked = stored(now.select("id").distinct(), "asked")
             pairs = None
             found = _blocks(now, materialize(payloads(asked), "payloads"), match)
             if not exact_match:
-                pairs = materialize(found, "pairs")
+                pairs = stored(found, "pairs")
                 found = verify(gathered(pairs))
-        found = materialize(found.select("a", "b"), "links")
+        found = stored(found.select("a", "b"), "links")
         release(held, pairs)
-        last, components = components, materialize(merged_components(components, found), "components")
+        last, components = components, stored(merged_components(components, found), "components")
         release(last, found)
     release(met)
     return components if components is not None else members.sparkSession.createDataFrame([], "id long, component long")

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gathered, in_batches, materialize, narrow, release
+from .common import gathered, in_batches, materialize, narrow, release, stored
 from .components import bucket_components, shared_buckets
 from .hashing import SEQUENCE_BASE, mix, sequences, words
 
@@ -202,11 +202,11 @@ def verifier(texts: Callable[[DataFrame], DataFrame], payloads: DataFrame, width
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        asked = narrow(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked"))
+        asked = narrow(stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked"))
         held = materialize(payloads.join(asked, "id", "left_semi"), "heads")
         heads = gathered(held)
         with_payload = pairs.join(heads.select(F.col("id").alias("a"), F.col("payload").alias("p")), "a").join(heads.select(F.col("id").alias("b"), F.col("payload").alias("q")), "b")
-        near = gathered(materialize(in_batches(with_payload.select("a", "b", "p", "q")).mapInArrow(rough, "a long, b long"), "near"))
+        near = gathered(stored(in_batches(with_payload.select("a", "b", "p", "q")).mapInArrow(rough, "a long, b long"), "near"))
         release(held)
         mine = materialize(texts(near.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "texts")
         both = near.join(mine.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(mine.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
@@ -231,8 +231,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
 
     def texts(asked: DataFrame) -> DataFrame:
         """(id, text) of the asked ids, each once."""
-        wanted = signed.select("id", F.col("doc_id").alias("__d"), F.col("h").alias("__h")).join(narrow(materialize(asked, "wanted")), "id", "left_semi")
-        wanted = narrow(materialize(wanted, "wanted-texts"))
+        wanted = signed.select("id", F.col("doc_id").alias("__d"), F.col("h").alias("__h")).join(narrow(stored(asked, "wanted")), "id", "left_semi")
+        wanted = narrow(stored(wanted, "wanted-texts"))
         found = keyed.join(wanted, (F.col("doc_id") == F.col("__d")) & (F.col("h") == F.col("__h"))).select("id", "text")
         return found.dropDuplicates(["id"]) if several else found
 
