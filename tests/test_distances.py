@@ -215,3 +215,56 @@ def test_cover_is_that_of_picking_one_by_one(spark, seed):
     assert {(r.src, r.dst) for r in shortest_paths.cover_pairs(df, rounds=50).collect()} == want
     few = {(r.src, r.dst) for r in shortest_paths.cover_pairs(df, rounds=1).collect()}
     assert {(min(p), max(p)) for p in few} == left and len(few) == len(left)
+
+
+def test_parts_of_a_large_graph_are_searched_apart(spark, monkeypatch):
+    """Only a part that is too large for a task goes through joins."""
+    monkeypatch.setattr(shortest_paths, "TASK_EDGES", 40)
+    sizes, way = [], shortest_paths.relaxation
+    monkeypatch.setattr(shortest_paths, "relaxation", lambda edges, *rest: sizes.append(edges.count()) or way(edges, *rest))
+    many = [(100 * k + i, 100 * k + i + 1) for k in range(9) for i in range(15 + 20 * (k == 4))] + [(2000 + 10 * k, 2001 + 10 * k) for k in range(50)]
+    e = spark.createDataFrame([(x, y, 2.0) for a, b in many for x, y in ((a, b), (b, a))], "a long, b long, w double").repartition(7)
+    q = spark.createDataFrame([(100 * k + 3, 100 * m + 12) for k in range(9) for m in range(9)] + [(2000, 2001), (2000, 2011), (2500, 9)], "v long, w long")
+    got = {(r.v, r.w): r.distance for r in shortest_paths.pair_distances(e, q, False).collect()}
+    assert got == {(100 * k + 3, 100 * k + 12): 18.0 for k in range(9)} | {(2000, 2001): 2.0}
+    assert sizes == [70]
+    keyed = e.withColumn("genome", shortest_paths.F.expr("IF(a < 450, 'x', 'y')"))
+    pairs = q.withColumn("genome", shortest_paths.F.explode(shortest_paths.F.array(*map(shortest_paths.F.lit, "xy"))))
+    got = {(r.genome, r.v, r.w): r.distance for r in shortest_paths.pair_distances(keyed, pairs, False, by="genome").collect()}
+    assert got == {("x" if k < 5 else "y", 100 * k + 3, 100 * k + 12): 18.0 for k in range(9)} | {("y", 2000, 2001): 2.0}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_cores_keep_distances(seed, monkeypatch):
+    """Long paths and dead ends cost a search nothing, and neither do very many edges of one node."""
+    np = shortest_paths.np
+    monkeypatch.setattr(shortest_paths, "WIDE", 4)
+    rng = random.Random(seed)
+    own = {(0, i): float(rng.randrange(3, 9)) for i in range(1, 12)} | {(i, i + 1): 1.0 for i in range(20, 3000)} | {(5, 20): 2.0, (3000, 7): 1.0} | {(7, 3001 + i): 1.0 for i in range(30)}
+    sym = [(a, b, w) for (a, b), w in own.items()] + [(b, a, w) for (a, b), w in own.items()]
+    a, b, w = (np.array(x) for x in zip(*sym))
+    graph = shortest_paths._Graph(a, b, w)
+    kept = np.isin(graph.nodes, (1, 9, 2000))
+    core, place = graph.core(kept)
+    assert len(core.nodes) <= 7 and (place[kept] >= 0).all()
+    want = dijkstra(sym, (2000,), float("inf"))
+    src, dst, d = shortest_paths._search(a, b, w, np.array([2000] * 3), np.array([1, 9, 3005]), float("inf"), False)
+    assert dict(zip(dst.tolist(), d.tolist())) == {x: want[x] for x in (1, 9, 3005)}
+
+
+def test_contraction_within_a_task(spark, monkeypatch):
+    """Graphs that fit a task take no rounds of joins, and give what joins give."""
+    tables = []
+    write = shortest_paths.materialize
+    monkeypatch.setattr(shortest_paths, "materialize", lambda df, name: tables.append(name) or write(df, name))
+    rng = random.Random(5)
+    own = {(i, i + 1): float(i % 5) for i in range(400) if i % 90} | {(rng.randrange(400), 500 + i): 1.0 for i in range(20)} | {(600, 601): 1.0, (601, 602): 1.0, (600, 602): 1.0}
+    rows = [(g, x, y, w) for g in "pq" for (a, b), w in own.items() for x, y in ((a, b), (b, a)) if g == "p" or a < 300]
+    e = spark.createDataFrame(rows, "g string, a long, b long, w double")
+    kept = spark.createDataFrame([("p", 33), ("q", 250), ("q", 9999)], "g string, node long")
+    near = {tuple(r) for r in shortest_paths.contracted(e, kept, ("g",)).collect()}
+    assert tables == ["whole"] and ("p", 33) in {x[:2] for x in near} and ("q", 33) not in {x[:2] for x in near}
+    one = {tuple(r) for r in shortest_paths.contracted(e.filter("g = 'p'").drop("g")).collect()}
+    monkeypatch.setattr(shortest_paths, "TASK_EDGES", 10)
+    assert near == {tuple(r) for r in shortest_paths.contracted(e, kept, ("g",)).collect()}
+    assert one == {tuple(r) for r in shortest_paths.contracted(e.filter("g = 'p'").drop("g")).collect()}
