@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph, links
-from ..scratch import scratch_path
+from ..scratch import materialize, scratch_path
 
 K = 5
 #: Parts for one source of the queries' pairs, and a source's targets.
@@ -57,7 +57,8 @@ def main_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def genome_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = canonical_links(spark, sf_dir).select("genome", "from_id", "to_id", "edge_type").distinct()
+    # A graph reads its links twice, for the edges and for the unitigs that they name.
+    kept = materialize(canonical_links(spark, sf_dir).select("genome", "from_id", "to_id", "edge_type").distinct(), "genome-links")
     return graph.genome_graphs(weights(spark, sf_dir), kept)
 
 
