@@ -2,6 +2,7 @@ import glob
 import heapq
 import random
 
+import numpy as np
 import pytest
 
 from loomgraph.operators import distances, graph, shortest_paths
@@ -268,3 +269,27 @@ def test_contraction_within_a_task(spark, monkeypatch):
     monkeypatch.setattr(shortest_paths, "TASK_EDGES", 10)
     assert near == {tuple(r) for r in shortest_paths.contracted(e, kept, ("g",)).collect()}
     assert one == {tuple(r) for r in shortest_paths.contracted(e.filter("g = 'p'").drop("g")).collect()}
+
+
+def test_small_numbers_give_the_same_distances(monkeypatch):
+    rng = random.Random(21)
+    links = {(min(a, b), max(a, b)): float(rng.randrange(5)) for a, b in ((rng.randrange(60), rng.randrange(60)) for _ in range(130)) if a != b}
+    sym = [(a, b, w) for (a, b), w in links.items()] + [(b, a, w) for (a, b), w in links.items()]
+    a, b, w = np.array([e[0] for e in sym]), np.array([e[1] for e in sym]), np.array([e[2] for e in sym])
+    src, dst = np.repeat(np.arange(60), 60), np.tile(np.arange(60), 60)
+    src, dst = src[src != dst], dst[src != dst]
+    graph = shortest_paths._Graph(a, b, w)
+    place = shortest_paths._find(graph.nodes, np.arange(60))
+    start, end = place[src] >= 0, place[dst] >= 0
+    asked = start & end
+    sources, asker = np.unique(src[asked], return_inverse=True)
+    both = [graph.distances(place[sources], np.arange(len(sources)), len(sources), [place[dst[asked]]], asker, float("inf"), small) for small in (False, True)]
+    assert np.array_equal(*both)
+    for limit in (float("inf"), 6.0):
+        want = {(s, t): d for s in range(60) for t, d in dijkstra(sym, [s], limit).items() if s != t}
+        # The least bound puts most distances beyond small numbers.
+        for small in (shortest_paths.SMALL, 5):
+            monkeypatch.setattr(shortest_paths, "SMALL", small)
+            got = shortest_paths._search(a, b, w, src, dst, limit, False)
+            assert {(int(s), int(t)): d for s, t, d in zip(*got)} == want, (limit, small)
+        monkeypatch.undo()
