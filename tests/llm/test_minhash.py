@@ -118,6 +118,36 @@ def test_connected_components(spark, edges, want):
     assert {r.id: r.component for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("rows", [components.FOREST_ROWS, 0])
+def test_components_of_many_links(spark, monkeypatch, rows):
+    """Both ways to components, of ids that doubles can't tell apart; more links than a task takes in at a time."""
+    monkeypatch.setattr(components, "FOREST_ROWS", rows)
+    monkeypatch.setattr(components, "FOREST_CHUNK", 100)
+    n, far = 2000, 1 << 62
+    links = [(i + far, i + 1 + far) for i in range(n) if i % 7] + [(i - far, i + 3 - far) for i in range(0, 900, 9)]
+    known = components.materialize(components.connected_components(spark.createDataFrame(links, "a long, b long")), "known")
+    more = [(far + 7, far + 701), (-far, far + 14)]
+    got = components.merged_components(known, components.materialize(spark.createDataFrame(more, "a long, b long"), "more")).collect()
+    least = {x: x for link in links + more for x in link}
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for a, b in links + more:
+        p, q = sorted((find(a), find(b)))
+        least[q] = p
+    assert len(got) == len(least) and {r.id: r.component for r in got} == {x: find(x) for x in least}
+
+
+def test_components_of_more_links_than_a_crumb_are_not_shuffled(spark):
+    n = spark.range(150_000)
+    found = components.connected_components(n.selectExpr("id AS a", "id + 150000 AS b"))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.selectExpr("count(*)", "sum(component)").first()[:] == (300_000, 2 * sum(range(150_000)))
+
+
 def test_one_id_with_two_texts(docs):
     """Rows that share an id stay apart: each is linked by its own text, and goes or stays by it."""
     a, b = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
