@@ -218,6 +218,36 @@ def test_cover_is_that_of_picking_one_by_one(spark, seed):
     assert {(min(p), max(p)) for p in few} == left and len(few) == len(left)
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 2, 6])
+def test_a_task_covers_as_joins_do(spark, monkeypatch, rounds):
+    """Which of both ways picks sources changes none, whatever the rounds; in a task it takes few jobs."""
+    rng = random.Random(rounds)
+    far = 1 << 60
+    pairs = spark.createDataFrame([(far + rng.randrange(40) ** 2 // 30, far + rng.randrange(60)) for _ in range(200)], "v long, w long")
+
+    def jobs(name):
+        spark.sparkContext.setJobGroup(name, name)
+        got = sorted((r.src, r.dst) for r in shortest_paths.cover_pairs(pairs, rounds=rounds).collect())
+        spark.sparkContext.setJobGroup("none", "none")
+        return got, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    got, few = jobs(f"task-{rounds}")
+    monkeypatch.setattr(shortest_paths, "COVERED", 0)
+    want, _ = jobs(f"joins-{rounds}")
+    assert got == want and few <= 6
+
+
+def test_sources_are_picked_once_for_all_genomes(spark, monkeypatch):
+    edges = spark.createDataFrame([(g, 2 * u + i, 2 * (u + 1) + j, 1.0) for g in "xyz" for u in range(9) for i, j in ((0, 1), (1, 0))], "genome string, a long, b long, w double")
+    both = edges.unionByName(edges.selectExpr("genome", "b AS a", "a AS b", "w"))
+    asked = spark.createDataFrame([(q, q % 9, 9 - q % 4, 1.0) for q in range(12)], "qid long, v long, w long, score double")
+    seen, real = [], distances.cover_pairs
+    monkeypatch.setattr(distances, "cover_pairs", lambda pairs, *a: seen.append(pairs.count()) or real(pairs, *a))
+    got = {r.qid: r for r in distances.genome_moments(asked, both).collect()}
+    assert seen == [len({(min(q % 9, 9 - q % 4), max(q % 9, 9 - q % 4)) for q in range(12) if q % 9 != 9 - q % 4})]
+    assert all(r.cnt == (3 if r.v != r.w and abs(r.v - r.w) <= 1 else r.cnt) and r.cnt in (0, 3) for r in got.values()) and len(got) == 12
+
+
 def test_parts_of_a_large_graph_are_searched_apart(spark, monkeypatch):
     """Only a part that is too large for a task goes through joins."""
     monkeypatch.setattr(shortest_paths, "TASK_EDGES", 40)

@@ -112,3 +112,14 @@ def test_query_errors(spark, tmp_path):
     (tmp_path / "u").write_text("0 AC\n")
     with pytest.raises(InputError, match="shorter than k"):
         tables.read_unitigs(spark, str(tmp_path / "u"), 3)
+
+
+def test_links_of_steps_in_rows_are_those_of_paths_in_arrays(spark):
+    rng = random.Random(5)
+    rows = [(p, rng.randrange(4), rng.randrange(5), rng.choice("+-"), rng.choice([None, 0, 7])) for p in range(60) for _ in range(rng.randrange(6))]
+    steps = spark.createDataFrame(rows, "path long, at long, seg long, orient string, overlap long")
+    paths = steps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("at", "seg", "orient", "overlap"))).alias("s"))
+    want = links.adjacency(paths.selectExpr("path", "transform(s, x -> struct(x.seg AS seg, x.orient AS orient)) AS steps", "s.overlap AS overlaps"))
+    got = links.adjacent_rows(steps, ("at", "seg", "orient", "overlap"))
+    assert got.columns == want.columns and got.count() > 50
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
