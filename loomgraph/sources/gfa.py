@@ -94,7 +94,7 @@ def errors(lines: DataFrame, segments: DataFrame, link_rows: DataFrame, paths: D
 
 def read_gfa(spark: SparkSession, path: str | list[str], validate: bool = True) -> Gfa:
     """Parse GFA1 files; InputError if something is wrong with them."""
-    lines = materialize(numbered_lines(spark, path), "gfa-lines")
+    lines = materialize(numbered_lines(spark, path).drop("file"), "gfa-lines")
     found = records(lines)
     segment_rows, link_rows, path_rows = segment_records(found), link_records(found), path_records(found)
     if validate:

@@ -10,8 +10,8 @@ from ..scratch import materialize, narrow
 
 
 def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(source, line_no, value): source is the place in the list of paths (0 for one path), line_no goes from 1 within it;
-    lines end at ``\\n`` only.
+    """(source, line_no, value, file): source is the place in the list of paths (0 for one path), line_no goes from 1 within it;
+    lines end at ``\\n`` only; file is the one that the line stands in.
 
     A path is a file, or a folder whose files are parts of one table: they come in the order of their part numbers, else of
     their names, and numbers go on from part to part. Spark reads a file as blocks, and rows of a block come in order.
@@ -25,7 +25,7 @@ def numbered_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     part = F.regexp_extract("file", r"part-(\d+)[^/]*$", 1).try_cast("bigint")
     ahead = F.sum("n").over(Window.partitionBy("source").orderBy(part, "file", "block")) - F.col("n")
     blocks = narrow(materialize(blocks.select("file", "block", "source", "first", ahead.alias("ahead")), "blocks"))
-    return lines.join(blocks, ["file", "block"]).select("source", (F.col("ahead") + F.col("row") - F.col("first") + 1).alias("line_no"), "value")
+    return lines.join(blocks, ["file", "block"]).select("source", (F.col("ahead") + F.col("row") - F.col("first") + 1).alias("line_no"), "value", "file")
 
 
 def _with_source(spark: SparkSession, blocks: DataFrame, paths: str | list[str]) -> DataFrame:
