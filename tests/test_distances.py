@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from loomgraph.operators import distances, graph, shortest_paths
+from loomgraph.operators import distances, graph, links, shortest_paths
 from loomgraph.plans import runs
 from loomgraph.plans.options import Mode, Options
 from loomgraph.sources import sinks
@@ -332,17 +332,49 @@ def test_links_that_tasks_build_into_graphs_give_what_built_edges_give(spark, mo
     rng = random.Random(8)
     # Six parts of 15 units, links that repeat, units without a weight or with none given, genomes by name, one of them null.
     told = [(rng.choice(["x", "y", None]), 15 * p + rng.randrange(12), 15 * p + rng.randrange(12), rng.choice(["FF", "FR", "RF", "RR"])) for p in range(6) for _ in range(40)]
-    links = spark.createDataFrame(told + told[:30], "genome string, from_id long, to_id long, edge_type string").repartition(4)
+    given = spark.createDataFrame(told + told[:30], "genome string, from_id long, to_id long, edge_type string").repartition(4)
     weights = spark.createDataFrame([(u, float(rng.randrange(9)) if u % 7 else None) for u in range(90) if u % 11], "unitig long, self_w double")
     asked = {(15 * p + rng.randrange(13), 15 * (p if rng.random() < 0.9 else 0) + rng.randrange(13)) for p in range(6) for _ in range(30)}
     queries = spark.createDataFrame([(i, v, w) for i, (v, w) in enumerate(sorted(asked))], "qid long, v long, w long")
     rows = lambda df: sorted(map(str, df.collect()))
-    unbuilt = graph.Links(links, weights)
-    want = distances.main_distances(queries, graph.two_sided_graph(weights, links.drop("genome").distinct()), limit=limit)
+    unbuilt = graph.Links(graph.link_edges(given, ("genome",)), weights)
+    want = distances.main_distances(queries, graph.two_sided_graph(weights, given.drop("genome").distinct()), limit=limit)
     assert rows(distances.main_distances(queries, unbuilt, limit=limit)) == rows(want)
-    want = distances.genome_distances(queries, graph.genome_graphs(weights, links.filter("genome IS NOT NULL").distinct()), limit=limit)
+    want = distances.genome_distances(queries, graph.genome_graphs(weights, given.filter("genome IS NOT NULL").distinct()), limit=limit)
     assert rows(distances.genome_distances(queries, unbuilt, limit=limit)) == rows(want) != []
-    none = graph.Links(links.filter("false"), weights)
+    none = graph.Links(unbuilt.sides.filter("false"), weights)
     assert distances.genome_distances(queries, none, limit=limit).count() == 0
     assert distances.main_distances(queries, none, limit=limit).filter("distance IS NOT NULL").count() == 0
     assert distances.main_distances(queries.filter("false"), unbuilt, limit=limit).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_thinned_graphs_keep_all_distances(seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(shortest_paths, "ROUNDS", 3 * seed + 1)
+    links = {(min(p), max(p)): float(rng.choice([0, 1, 1, 1, 5, 20_000] if seed % 2 else [1, 1, 2, 7])) for p in ((rng.randrange(90), rng.randrange(90)) for _ in range(115)) if p[0] != p[1]}
+    both = [(a, b, w) for (a, b), w in links.items()] + [(b, a, w) for (a, b), w in links.items()]
+    graph = shortest_paths._Graph(*(np.array(x) for x in zip(*both)))
+    kept = np.zeros(len(graph.nodes), bool)
+    kept[:3] = True
+    thin, place, levels = graph.thinned(kept)
+    assert (place[:3] >= 0).all() and len(thin.nodes) < 0.8 * len(graph.nodes)
+    rows = shortest_paths._Graph.restored(thin.distances(place[:3], np.arange(3), 3), place, levels)
+    for i, source in enumerate(graph.nodes[:3]):
+        want = dijkstra(both, [source], float("inf"))
+        assert rows[:, i].tolist() == [want.get(x, float("inf")) for x in graph.nodes]
+    src, dst = np.repeat(graph.nodes[:3], len(graph.nodes)), np.tile(graph.nodes, 3)
+    for limit in (float("inf"), 6.0, 30_000.0):
+        a, b, w = (np.array(x) for x in zip(*both))
+        got = {(s, t): d for s, t, d in zip(*(x.tolist() for x in shortest_paths._search(a, b, w, src, dst, limit, False)))}
+        assert got == {(s, t): d for s in graph.nodes[:3].tolist() for t, d in dijkstra(both, [s], limit).items() if d < limit}
+
+
+def test_sides_of_links_are_those_of_canonical_links(spark):
+    rng = random.Random(3)
+    told = [(rng.randrange(60) or None, rng.choice([1, 2, 3, None]), rng.choice([4, 5, 6, None]), rng.choice("+-"), rng.randrange(3)) for _ in range(400)]
+    steps = spark.createDataFrame(told, "path long, n int, seg long, orient string, overlap long").repartition(3)
+    rows = links.canonical(links.adjacent_rows(steps, ("n", "seg", "orient", "overlap")), "from_seg", "to_seg")
+    ends = lambda df: sorted((r.path or -1, *sorted((r.a or -1, r.b or -1))) for r in df.collect())
+    sides = links.adjacent_sides(steps.selectExpr("path", "n", "seg", "orient = '-' AS minus"), ("n", "seg", "minus"))
+    assert ends(sides) == ends(graph.link_edges(rows, ("path",)))
